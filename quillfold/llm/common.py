@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,18 +66,21 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """:func:`array_slices` of one column of a record batch."""
+    return array_slices(batch.column(batch.schema.get_field_index(column)), max_bytes)
+
+
+def array_slices(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
     """Yield ``(first row, texts)`` with about ``max_bytes`` of UTF-8 in each slice.
 
     One text longer than that forms a slice of its own, so memory follows the longest text only.
     """
-    col = batch.column(batch.schema.get_field_index(column))
     if len(col) == 0:
         return
     if pa.types.is_null(col.type):
         yield 0, [None] * len(col)
         return
-    width = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
-    ends = np.cumsum(width)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64))
     first = 0
     while first < len(col):
         before = ends[first - 1] if first else 0
@@ -113,3 +116,64 @@ def with_fields(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
     new = {n.lower() for n, _ in fields}
     kept = [f for f in schema.fields if f.name.lower() not in new]
     return T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t), True) for n, t in fields])
+
+
+def per_text(make: Callable[[], Callable[[list[str | None]], pa.Array]], returns: str, max_bytes: int = 1 << 20) -> Callable[[F.Column], F.Column]:
+    """An Arrow function of one text column, applied to slices of about ``max_bytes``.
+
+    ``make`` runs once per task and gives the function from a list of texts to an Arrow array, so
+    models and tables are built on the executors.
+    """
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        function = make()
+        for texts in batches:
+            parts = [function(part) for _, part in array_slices(texts, max_bytes)]
+            yield pa.concat_arrays(parts) if parts else function([])
+
+    return run
+
+
+def structs(kinds: dict[str, pa.DataType], columns: list) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
+#: A table of ids and labels is broadcast up to this many rows (some 64 MB); beyond it, the join shuffles.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast join if a count proves it small, else as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, label`` of the rows that may be learnt from.
+
+    These have a label and ``crc32(id as text) mod folds != 0``.  Repeated labels of an id count as
+    the largest of them.
+    """
+    known = (
+        labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+        .where(crc_fold(id_col, folds) != 0)
+        .groupBy(F.col(id_col).alias("doc_id"))
+        .agg(F.max(label_col).cast("int").alias("label"))
+    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(small_side(materialise(known)), "doc_id")
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge logistic regression by Newton steps: ``(mean, scale, weights)``, intercept last."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
+    w = np.zeros(z.shape[1])
+    penalty = np.r_[np.full(z.shape[1] - 1, ridge), 1e-6]
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (p - y) + penalty * w)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return mean, scale, w

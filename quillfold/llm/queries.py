@@ -5,16 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillfold.llm.common import table
+from quillfold.llm.common import crc_fold, table
+from quillfold.llm.decontaminate import find_contamination
 from quillfold.llm.near_dedup import NearDup, near_duplicates
+from quillfold.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle_words=4, percent=80))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = F.aggregate("contamination.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.col("contamination.n_words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), out_col="score")
+    return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 
