@@ -148,19 +148,19 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, label`` of the rows that may be learnt from.
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int | None, id_col: str = "doc_id", text_col: str = "text", **also: F.Column) -> DataFrame:
+    """The rows of ``docs`` that may be learnt from, as ``doc_id, text, label`` and further columns ``also``.
 
-    These have a label and ``crc32(id as text) mod folds != 0``.  Repeated labels of an id count as
+    These have a label and, if ``folds`` is given, ``crc32(id as text) mod folds != 0``.  Repeated labels of an id count as
     the largest of them.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-        .where(crc_fold(id_col, folds) != 0)
+        .where(crc_fold(id_col, folds) != 0 if folds else F.lit(True))
         .groupBy(F.col(id_col).alias("doc_id"))
         .agg(F.max(label_col).cast("int").alias("label"))
     )
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c.alias(n) for n, c in also.items()))
     return rows.join(small_side(materialise(known)), "doc_id")
 
 

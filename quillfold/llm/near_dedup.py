@@ -6,11 +6,11 @@ Plan
    (hash of the whole set, so exact copies share it), the band hashes and the signature.
 2. ``groupBy(band hash)`` with ``min``/``max`` of the class id finds the bands that hold different
    texts.  It is partially aggregated, so thousands of copies in one band are one row per task.
-3. Within such a band every class is paired with the two extreme classes (stars, not all pairs).
+3. Within such a band every class is paired with two centres (stars, not all pairs).
    Signatures drop the pairs that are clearly too far; the rest are confirmed on their full sets.
-4. Components of the confirmed links.  Bands that still hold classes of different components are
-   searched again: every class outside the band's largest component against the others.  Pairs of
-   one component can add nothing, so after that no link between components is left untried.
+4. Components of the confirmed links.  The classes of bands that still hold different components are
+   searched once more, by exact prefix filtering over their shingles.  Pairs of one component can
+   add nothing, so after that no link between components is left untried.
 
 Texts of documents that are in no confirmed or tried pair are read once and never shuffled.
 """
@@ -184,11 +184,11 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "do
         banded.groupBy("bk").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where(F.col("lo") < F.col("hi"))
     )
     # the classes of every band that holds more than one
-    members = materialise(banded.join(mixed, "bk").select("bk", "cid", "lo", "hi").distinct())
-    rest = F.col("cid")
+    members = materialise(banded.join(mixed, "bk").select("bk", "cid", "lo").distinct())
     stars = (
-        members.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), rest.alias("b")), F.struct(rest.alias("a"), F.col("hi").alias("b")))).alias("p"))
-        .select("p.a", "p.b")
+        _centres(members)
+        .select(F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("cid").alias("y")), F.struct(F.col("mid").alias("x"), F.col("cid").alias("y")))).alias("p"))
+        .select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
         .where(F.col("a") < F.col("b"))
         .distinct()
     )
@@ -202,11 +202,13 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "do
     links = materialise(_confirmed(tried, sets, cfg.percent))
     labels = materialise(connected_components(links))
 
-    more = _close_enough(_open_pairs(members, labels), classes, cfg)
+    rest = materialise(_open_classes(members, labels))
+    lacking = classes.join(rest, "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
+    added = _sets(docs, lacking, cfg, id_col, text_col).join(sets.select("cid"), "cid", "left_anti")
+    sets = sets.unionByName(materialise(added))
+    more = _close_enough(_prefix_pairs(sets.join(rest, "cid"), cfg.percent), classes, cfg)
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        lacking = classes.join(_ends(more), "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
-        sets = sets.unionByName(_sets(docs, lacking, cfg, id_col, text_col).join(sets.select("cid"), "cid", "left_anti"))
         links = links.unionByName(_confirmed(more, sets, cfg.percent))
         labels = materialise(connected_components(links))
 
@@ -224,26 +226,60 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one band and two components that the stars have not tried.
+def _centres(members: DataFrame) -> DataFrame:
+    """``members`` with ``mid``, the class of the band that meets most others in all its bands.
 
-    A band's largest component is never paired within itself, only against the classes outside it.
+    The text that a group's copies were made from is closest to all of them, so stars around it
+    find most links at once.
     """
+    sizes = members.groupBy("bk").agg(F.count(F.lit(1)).alias("n"))
+    met = members.join(sizes, "bk").groupBy("cid").agg(F.sum("n").alias("met"))
+    mids = members.join(met, "cid").groupBy("bk").agg(F.max(F.struct("met", "cid"))["cid"].alias("mid"))
+    return members.join(mids, "bk")
+
+
+def _open_classes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``cid, comp`` of the bands of three or more classes that lie in different components."""
     at = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "bk", "cid", "lo", "hi", F.coalesce("component", "cid").alias("comp")
-    )
-    sizes = at.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_bands = sizes.groupBy("bk").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    at = materialise(at.join(open_bands.select("bk", F.col("top.comp").alias("main")), "bk"))
-    inner = (F.col("cid") != F.col("lo")) & (F.col("cid") != F.col("hi"))  # the extremes have met every class
-    out = at.where(inner & (F.col("comp") != F.col("main"))).select("bk", F.col("cid").alias("x"), F.col("comp").alias("cx"))
-    all_ = at.where(inner).select("bk", F.col("cid").alias("y"), F.col("comp").alias("cy"))
-    return (
-        out.join(all_, "bk")
-        .where(F.col("cx") != F.col("cy"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+        "bk", "cid", F.coalesce("component", "cid").alias("comp")
     )
+    bands = at.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
+    return at.join(bands.where("n > 2 and low < high").select("bk"), "bk", "left_semi").select("cid", "comp").distinct()
+
+
+def _prefix_pairs(sets: DataFrame, percent: int, bits: int = 20) -> DataFrame:
+    """All pairs ``a, b`` of different components that can be similar enough, by prefix filtering.
+
+    ``sets`` has ``cid, comp, grams``.  With the shingles of every set in one order, rare ones first,
+    two sets of the wanted similarity share one of their first ``n - ceil(percent * n / 100) + 1``.
+    Passages that many texts have in common come last in the order and pair nothing.  The order uses
+    counts in ``2**bits`` hashed buckets, which bounds what is broadcast; any order is exact.
+    """
+    spark = sets.sparkSession
+    mask = (1 << bits) - 1
+    counts = np.zeros(1 << bits, np.int64)
+    tally = sets.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    for batch in tally.toArrow().to_batches():
+        counts[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[], [], [], []]
+            for cid, comp, grams in zip(np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2), strict=True):
+                g = np.asarray(grams.values)
+                often = shared.value[g & mask]
+                first = np.lexsort((g, often))[: len(g) - -(-percent * len(g) // 100) + 1]
+                g = g[first[often[first] > 1]]
+                for out, v in zip(rows, (g, *(np.full(len(g), x, np.int64) for x in (cid, comp, len(grams)))), strict=True):
+                    out.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r) if r else np.empty(0, np.int64)) for r in rows], ["g", "cid", "comp", "n"])
+
+    heads = materialise(sets.select("cid", "comp", "grams").mapInArrow(run, "g long, cid long, comp long, n long"))
+    one, two = (heads.select("g", *(F.col(c).alias(c + x) for c in ("cid", "comp", "n"))) for x in "12")
+    near = (F.col("comp1") != F.col("comp2")) & (F.col("cid1") < F.col("cid2"))
+    sized = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    return one.join(two, "g").where(near & sized).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
