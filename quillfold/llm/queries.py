@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillfold.llm.chat_format import format_chat, read_loss, read_turns
 from quillfold.llm.common import crc_fold, table
 from quillfold.llm.decontaminate import find_contamination
+from quillfold.llm.mixing import mix
 from quillfold.llm.near_dedup import NearDup, near_duplicates
 from quillfold.llm.quality_rules import apply_rules, learn_cutoffs
 from quillfold.llm.token_count import count_tokens
@@ -46,6 +47,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), out_col="score")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_source_mixing": op5_source_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
