@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from quillfold.llm.chat_format import format_chat, read_loss, read_turns
 from quillfold.llm.common import crc_fold, table
 from quillfold.llm.decontaminate import find_contamination
+from quillfold.llm.language_id import fit_languages, identify_languages
 from quillfold.llm.mixing import mix
 from quillfold.llm.near_dedup import NearDup, near_duplicates
+from quillfold.llm.quality_model import fit_quality, score_quality
 from quillfold.llm.quality_rules import apply_rules, learn_cutoffs
 from quillfold.llm.token_count import count_tokens
 from quillfold.llm.toxicity import fit_toxicity, score_toxicity
@@ -51,6 +53,18 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, fit_languages(docs))
+    return found.select(
+        "doc_id",
+        (crc_fold("doc_id", 4) == 2).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.col("language.rejected").alias("rejected"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")), out_col="score")
@@ -73,14 +87,22 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), out_col="score")
+    return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_source_mixing": op5_source_mixing,
+    "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 #: SQL fragments: ASCII lower case, and the rows of op8 with conversation -1.
