@@ -11,6 +11,7 @@ from quillfold.llm.chat_format import format_chat, read_loss, read_turns
 from quillfold.llm.common import crc_fold, table
 from quillfold.llm.decontaminate import find_contamination
 from quillfold.llm.language_id import fit_languages, identify_languages
+from quillfold.llm.license_scan import TEMPLATES, LicenseConfig, group_templates, scan_licenses
 from quillfold.llm.mixing import mix
 from quillfold.llm.near_dedup import NearDup, near_duplicates
 from quillfold.llm.quality_model import fit_quality, score_quality
@@ -23,6 +24,16 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(shingle_words=4, percent=80))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m["license"])))
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.size(names).cast("long").alias("n_licenses"),
+        F.array_join(names, ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda m: m["containment"])), F.lit(0.0)).alias("containment"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"))
     n = F.col("tokens.n_tokens")
@@ -94,6 +105,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
@@ -108,7 +120,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: SQL fragments: ASCII lower case, and the rows of op8 with conversation -1.
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _license_sql() -> str:
+    """Exact containment over the same windows, without the bands."""
+    rows = ", ".join(
+        f"('{n}', '{TEMPLATES[n]}', {g.k}, {g.step}, {g.span})" for g in group_templates(TEMPLATES, LicenseConfig()) for n in g.names
+    )
+    word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {word}) AS w FROM documents WHERE text IS NOT NULL),
+t AS (SELECT name, k, step, span, regexp_extract_all({_LOW}, {word}) AS w FROM (VALUES {rows}) AS v(name, text, k, step, span)),
+tg AS (SELECT DISTINCT name, k, step, span, array_to_string(w[i:i + k - 1], ' ') AS g FROM t, unnest(range(1, len(w) - k + 2)) AS r(i)),
+n AS (SELECT name, count(*) AS n FROM tg GROUP BY name),
+dg AS (SELECT doc_id, k, i - 1 AS p, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM d, (SELECT DISTINCT k FROM t) AS ks, unnest(range(1, len(w) - k + 2)) AS r(i)),
+hit AS (SELECT doc_id, name, p, step, span, g FROM dg JOIN tg USING (k, g)),
+win AS (SELECT doc_id, name, g, unnest(range(greatest(0, -((span - 1 - p) // step)), p // step + 1)) AS i, p, step, span FROM hit),
+held AS (SELECT doc_id, name, i, count(DISTINCT g) AS h FROM win WHERE i * step <= p AND p < i * step + span GROUP BY doc_id, name, i),
+best AS (SELECT doc_id, name, max(h / n) AS c FROM held JOIN n USING (name) WHERE h / n >= 0.8 GROUP BY doc_id, name),
+s AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(c) AS c FROM best GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, CAST(coalesce(c, 0) AS DOUBLE) AS containment
+FROM documents LEFT JOIN s USING (doc_id)"""
+
+
 SQL: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
     "op4_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
