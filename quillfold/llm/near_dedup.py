@@ -9,8 +9,8 @@ Plan
 3. Within such a band every class is paired with two centres (stars, not all pairs).
    Signatures drop the pairs that are clearly too far; the rest are confirmed on their full sets.
 4. Components of the confirmed links.  The classes of bands that still hold different components are
-   searched once more, by exact prefix filtering over their shingles.  Pairs of one component can
-   add nothing, so after that no link between components is left untried.
+   searched once more, by an exact filter on their differences from the group's common core.
+   Pairs of one component can add nothing, so after that no link between components is left untried.
 
 Texts of documents that are in no confirmed or tried pair are read once and never shuffled.
 """
@@ -184,10 +184,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "do
         banded.groupBy("bk").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where(F.col("lo") < F.col("hi"))
     )
     # the classes of every band that holds more than one
-    members = materialise(banded.join(mixed, "bk").select("bk", "cid", "lo").distinct())
+    members = materialise(_centres(materialise(banded.join(mixed, "bk").select("bk", "cid", "lo").distinct())))
     stars = (
-        _centres(members)
-        .select(F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("cid").alias("y")), F.struct(F.col("mid").alias("x"), F.col("cid").alias("y")))).alias("p"))
+        members.select(F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("cid").alias("y")), F.struct(F.col("mid").alias("x"), F.col("cid").alias("y")))).alias("p"))
         .select(F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b"))
         .where(F.col("a") < F.col("b"))
         .distinct()
@@ -203,10 +202,11 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "do
     labels = materialise(connected_components(links))
 
     rest = materialise(_open_classes(members, labels))
-    lacking = classes.join(rest, "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
+    wanted = rest.select("cid").distinct()
+    lacking = classes.join(wanted, "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
     added = _sets(docs, lacking, cfg, id_col, text_col).join(sets.select("cid"), "cid", "left_anti")
     sets = sets.unionByName(materialise(added))
-    more = _close_enough(_prefix_pairs(sets.join(rest, "cid"), cfg.percent), classes, cfg)
+    more = _close_enough(_pivot_pairs(rest, sets, cfg.percent), classes, cfg)
     more = materialise(more.join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.unionByName(_confirmed(more, sets, cfg.percent))
@@ -227,59 +227,119 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _centres(members: DataFrame) -> DataFrame:
-    """``members`` with ``mid``, the class of the band that meets most others in all its bands.
+    """``members`` with ``mid``, the centre of their band.
 
-    The text that a group's copies were made from is closest to all of them, so stars around it
-    find most links at once.
+    The text that a group's copies were made from is closest to all of them, so it shares most
+    bands with others.  Every class takes the class with most company in any of its bands, and a
+    band takes the best of what its classes take: nearly all bands of a group get that one text as
+    their centre, even where it is not in them.
     """
     sizes = members.groupBy("bk").agg(F.count(F.lit(1)).alias("n"))
     met = members.join(sizes, "bk").groupBy("cid").agg(F.sum("n").alias("met"))
-    mids = members.join(met, "cid").groupBy("bk").agg(F.max(F.struct("met", "cid"))["cid"].alias("mid"))
+    tops = members.join(met, "cid").groupBy("bk").agg(F.max(F.struct("met", "cid")).alias("top"))
+    best = members.join(tops, "bk").groupBy("cid").agg(F.max("top").alias("best"))
+    mids = members.join(best, "cid").groupBy("bk").agg(F.max("best")["cid"].alias("mid"))
     return members.join(mids, "bk")
 
 
 def _open_classes(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``cid, comp`` of the bands of three or more classes that lie in different components."""
+    """``mid, cid, comp`` of the bands of three or more classes that lie in different components."""
     at = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "bk", "cid", F.coalesce("component", "cid").alias("comp")
+        "bk", "mid", "cid", F.coalesce("component", "cid").alias("comp")
     )
     bands = at.groupBy("bk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
-    return at.join(bands.where("n > 2 and low < high").select("bk"), "bk", "left_semi").select("cid", "comp").distinct()
+    rows = at.join(bands.where("n > 2 and low < high").select("bk"), "bk", "left_semi")
+    return rows.select("mid", "cid", "comp").distinct()
 
 
-def _prefix_pairs(sets: DataFrame, percent: int, bits: int = 20) -> DataFrame:
-    """All pairs ``a, b`` of different components that can be similar enough, by prefix filtering.
+def _hashed_counts(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """How often values occur, in ``2**bits`` hashed buckets: a bounded table for the driver."""
+    counts = np.zeros(1 << bits, np.int64)
+    bucket = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    for batch in values.groupBy(bucket.alias("g")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_batches():
+        counts[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
+    return counts
+
+
+def _pivot_pairs(rest: DataFrame, sets: DataFrame, percent: int, bits: int = 20, core_share: float = 0.3) -> DataFrame:
+    """All pairs ``a, b`` of one group (``mid``) and two components that may be linked.
+
+    A group's core ``c`` holds the shingles of at least ``core_share`` of its sets.  A set ``x`` is
+    described by its differences from the core: ``D(x)``, the ``M`` shingles of the core it lacks and
+    the ``A`` it has besides.  With ``w(x) = 100 M + percent A``, ``x`` and ``y`` are linked exactly if
+
+        (100 + percent) * |D(x) & D(y)|  >=  w(x) + w(y) - (100 - percent) * |c|.
 
-    ``sets`` has ``cid, comp, grams``.  With the shingles of every set in one order, rare ones first,
-    two sets of the wanted similarity share one of their first ``n - ceil(percent * n / 100) + 1``.
-    Passages that many texts have in common come last in the order and pair nothing.  The order uses
-    counts in ``2**bits`` hashed buckets, which bounds what is broadcast; any order is exact.
+    Where the right side is not positive, both are linked to the set of smallest ``w``, and are
+    paired with that.  All other pairs must share differences: they meet on a prefix of ``D`` in one
+    common order (rare ones first; those that occur once never meet), as short as the right side
+    allows, and only where enough differences may follow.  What the copies of a large group, or texts
+    with a common passage, have in common is in the core and pairs nothing.
     """
     spark = sets.sparkSession
     mask = (1 << bits) - 1
-    counts = np.zeros(1 << bits, np.int64)
-    tally = sets.select(F.explode("grams").alias("g")).groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    for batch in tally.toArrow().to_batches():
-        counts[np.asarray(batch.column(0))] = np.asarray(batch.column(1))
-    shared = spark.sparkContext.broadcast(counts)
+    own = sets.select("cid", "grams")
+    sizes = rest.groupBy("mid").agg(F.count(F.lit(1)).alias("size"))
+    often = rest.join(own, "cid").select("mid", F.explode("grams").alias("g")).groupBy("mid", "g").agg(F.count(F.lit(1)).alias("k"))
+    core = often.join(sizes, "mid").where(F.col("k") >= core_share * F.col("size")).groupBy("mid").agg(F.collect_list("g").alias("core"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list[np.ndarray]] = [[], [], [], []]
-            for cid, comp, grams in zip(np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2), strict=True):
-                g = np.asarray(grams.values)
-                often = shared.value[g & mask]
-                first = np.lexsort((g, often))[: len(g) - -(-percent * len(g) // 100) + 1]
-                g = g[first[often[first] > 1]]
-                for out, v in zip(rows, (g, *(np.full(len(g), x, np.int64) for x in (cid, comp, len(grams)))), strict=True):
-                    out.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r) if r else np.empty(0, np.int64)) for r in rows], ["g", "cid", "comp", "n"])
-
-    heads = materialise(sets.select("cid", "comp", "grams").mapInArrow(run, "g long, cid long, comp long, n long"))
-    one, two = (heads.select("g", *(F.col(c).alias(c + x) for c in ("cid", "comp", "n"))) for x in "12")
-    near = (F.col("comp1") != F.col("comp2")) & (F.col("cid1") < F.col("cid2"))
-    sized = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
-    return one.join(two, "g").where(near & sized).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
+            mid, cid, comp = (np.asarray(batch.column(k)) for k in range(3))
+            w, c_size, diff = [], [], []
+            for m, x, c in zip(mid, batch.column(3), batch.column(4), strict=True):
+                x, c = (np.asarray(v.values).view(np.uint64) for v in (x, c))
+                lacks, adds = np.setdiff1d(c, x, assume_unique=True), np.setdiff1d(x, c, assume_unique=True)
+                salt = mix64(np.array([m]).view(np.uint64))
+                diff.append(np.r_[mix64(lacks ^ salt), mix64(~adds ^ salt)].view(np.int64))
+                w.append(100 * len(lacks) + percent * len(adds)), c_size.append((100 - percent) * len(c))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mid), pa.array(cid), pa.array(comp), pa.array(w, pa.int64()), pa.array(c_size, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
+                ["mid", "cid", "comp", "w", "c", "diff"],
+            )
+
+    rows = rest.join(own, "cid").join(core, "mid").select("mid", "cid", "comp", "grams", "core")
+    rows = materialise(rows.mapInArrow(differ, "mid long, cid long, comp long, w long, c long, diff array<long>"))
+    counts = spark.sparkContext.broadcast(_hashed_counts(rows.select(F.explode("diff").alias("f")), "f", bits))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each feature of the longer prefix; ``low`` says whether it is in the shorter one."""
+        for batch in batches:
+            mid, cid, comp, w, c, least = (np.asarray(batch.column(k)) for k in range(6))
+            f, low, left, at = [], [], [], []
+            for i, d in enumerate(batch.column(6)):
+                d = np.asarray(d.values)
+                n = counts.value[d & mask]
+                d, n = d[n > 1], n[n > 1]
+                d = d[np.lexsort((d, n))]
+                need = [max(1, -(-(int(w[i]) + int(o) - int(c[i])) // (100 + percent))) for o in (w[i], least[i])]
+                short, long_ = (max(0, len(d) - q + 1) for q in need)
+                f.append(d[:long_])
+                low.append(np.arange(long_) < short)
+                left.append(len(d) - np.arange(long_))
+                at.append(np.full(long_, i))
+            at = np.concatenate(at).astype(np.int64) if at else np.empty(0, np.int64)
+            join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in (mid[at], cid[at], comp[at], w[at], c[at], join(f, np.int64), join(low, bool), join(left, np.int64))],
+                ["mid", "cid", "comp", "w", "c", "f", "low", "left"],
+            )
+
+    nearest = rows.groupBy("mid").agg(F.min(F.struct("w", "cid", "comp")).alias("top"))
+    ranked = rows.join(nearest, "mid")
+    heads = materialise(
+        ranked.select("mid", "cid", "comp", "w", "c", F.col("top.w").alias("least"), "diff").mapInArrow(
+            prefixes, "mid long, cid long, comp long, w long, c long, f long, low boolean, left long"
+        )
+    )
+    one = heads.where("low").select("mid", "f", *(F.col(k).alias(f"{k}1") for k in ("cid", "comp", "w", "left")))
+    two = heads.select("mid", "f", "c", *(F.col(k).alias(f"{k}2") for k in ("cid", "comp", "w", "left")))
+    enough = (100 + percent) * F.least("left1", "left2") >= F.col("w1") + F.col("w2") - F.col("c")
+    order = (F.col("w1") < F.col("w2")) | ((F.col("w1") == F.col("w2")) & (F.col("cid1") < F.col("cid2")))
+    meet = one.join(two, ["mid", "f"]).where((F.col("comp1") != F.col("comp2")) & order & enough)
+    stars = ranked.where((F.col("w") + F.col("top.w") <= F.col("c")) & (F.col("comp") != F.col("top.comp"))).select(F.col("cid").alias("cid1"), F.col("top.cid").alias("cid2"))
+    both = meet.select("cid1", "cid2").unionByName(stars)
+    return both.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
