@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "do
 
     keyed = full.select("doc_id", "n_shingles", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     keyed = keyed.select("doc_id", "n_shingles", F.coalesce("component", "cid").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("doc_id").alias("component_id"))
-    grouped = keyed.join(least, "key").select("doc_id", "n_shingles", "component_id")
+    # only groups of several rows are joined back, from a table: a hot group's rows can then be split
+    least = materialise(keyed.groupBy("key").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    grouped = keyed.join(least, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     single = drawn.where(F.col("cid").isNull() | F.col("doc_id").isNull()).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )
