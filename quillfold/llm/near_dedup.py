@@ -12,7 +12,8 @@ Plan
    searched once more, by an exact filter on their differences from the group's common core.
    Pairs of one component can add nothing, so after that no link between components is left untried.
 
-Texts of documents that are in no confirmed or tried pair are read once and never shuffled.
+The texts are read once in full and again for the members of tried pairs, and are shuffled only if
+those are too many to broadcast their ids.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import materialise, mix64, text_slices
+from quillfold.llm.common import materialise, mix64, small_side, text_slices
 from quillfold.llm.components import connected_components
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -131,7 +132,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, cfg: NearDup, id_col: str, text_co
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    some = rows.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text").where(F.col("text").isNotNull())
+    some = rows.join(small_side(wanted.select("doc_id")), "doc_id", "left_semi").select("text").where(F.col("text").isNotNull())
     return some.mapInArrow(run, "cid long, grams array<long>").dropDuplicates(["cid"])
 
 
@@ -192,18 +193,18 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "do
         .distinct()
     )
     classes = materialise(
-        full.join(members.select("cid").distinct(), "cid", "left_semi")
+        full.join(small_side(materialise(members.select("cid").distinct())), "cid", "left_semi")
         .groupBy("cid")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     )
     tried = materialise(_close_enough(stars, classes, cfg))
-    sets = materialise(_sets(docs, classes.join(_ends(tried), "cid", "left_semi"), cfg, id_col, text_col))
+    sets = materialise(_sets(docs, materialise(classes.join(_ends(tried), "cid", "left_semi").select("doc_id")), cfg, id_col, text_col))
     links = materialise(_confirmed(tried, sets, cfg.percent))
     labels = materialise(connected_components(links))
 
     rest = materialise(_open_classes(members, labels))
     wanted = rest.select("cid").distinct()
-    lacking = classes.join(wanted, "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti")
+    lacking = materialise(classes.join(wanted, "cid", "left_semi").join(sets.select("cid"), "cid", "left_anti"))
     added = _sets(docs, lacking, cfg, id_col, text_col).join(sets.select("cid"), "cid", "left_anti")
     sets = sets.unionByName(materialise(added))
     more = _close_enough(_pivot_pairs(rest, sets, cfg.percent), classes, cfg)
@@ -354,6 +355,6 @@ def drop_near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str
     )
     odd = materialise(per_id.where(~F.col("k") | (F.col("n") > 1)).select(F.col("doc_id").alias(id_col), "k"))
     twice = odd.where("k").select(id_col)
-    plain = docs.join(odd.select(id_col), id_col, "left_anti").select(*docs.columns)
-    again = docs.join(twice, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    plain = docs.join(small_side(odd.select(id_col)), id_col, "left_anti").select(*docs.columns)
+    again = docs.join(small_side(twice), id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     return plain.unionByName(again)
