@@ -89,6 +89,20 @@ def array_slices(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int,
         first = last
 
 
+def pieces(text: str, limit: int = 1 << 20) -> Iterator[str]:
+    """Cut a very long text at blanks or line ends, so that arrays over its letters stay small.
+
+    A stretch of ``limit`` characters without either is cut where it is.
+    """
+    at = 0
+    while len(text) - at > limit:
+        cut = max(text.rfind(" ", at, at + limit), text.rfind("\n", at, at + limit)) + 1
+        cut = cut if cut > at else at + limit
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalising mixer: spreads 64-bit values over all bits (wraps on overflow)."""
     x = x ^ (x >> np.uint64(30))

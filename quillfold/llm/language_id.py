@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillfold.llm.common import array_slices, crc_fold, per_text, small_side, structs
+from quillfold.llm.common import array_slices, crc_fold, per_text, pieces, small_side, structs
 
 #: Bytes other than letters and non-ASCII become blanks.
 _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -41,6 +41,8 @@ def _has_letter(text: str | None) -> bool:
 
 def ngram_counts(texts: list[str | None], cfg: LanguageConfig) -> np.ndarray:
     """Dense counts ``[texts, dims]`` of the hashed byte n-grams of lower-cased letters."""
+    if any(t and len(t) > 1 << 20 for t in texts):  # very long texts piece by piece
+        return np.concatenate([sum(ngram_counts([p], cfg) for p in pieces(t or "", 1 << 19)) for t in texts])
     rows = [b" " + b" ".join(t.lower().encode("utf-8", "replace").translate(_TABLE).split()) + b" " if t else b"" for t in texts]
     b = np.frombuffer(b"".join(rows), np.uint8).astype(np.uint64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import array_slices, fit_logistic, labelled, materialise, mix64, per_text, spare_name
+from quillfold.llm.common import array_slices, fit_logistic, labelled, materialise, mix64, per_text, pieces, spare_name
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -59,6 +59,19 @@ def _grams(texts: list[str | None], cfg: ToxicityConfig) -> tuple[np.ndarray, np
     return (g >> down).astype(np.int64)[1:], (mix64(h) >> down).astype(np.int64)[1:], np.flatnonzero(blank[1:]), counts
 
 
+def _runs(parts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
+    """Lists of texts of at most ``limit`` characters together (one text at least)."""
+    run, size = [], 0
+    for p in parts:
+        if run and size + len(p) > limit:
+            yield run
+            run, size = [], 0
+        run.append(p)
+        size += len(p)
+    if run:
+        yield run
+
+
 def _count_ngrams(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
     """``g, h, c0, c1``: counts of each n-gram (with its context) in either class."""
 
@@ -67,8 +80,9 @@ def _count_ngrams(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
         for batch in batches:
             label = np.asarray(batch.column(1))
             for first, texts in array_slices(batch.column(0), 1 << 19):
-                for c in (0, 1):
-                    g, h, _, _ = _grams([t for t, y in zip(texts, label[first : first + len(texts)], strict=True) if (y > 0) == c], cfg)
+                marked = [(p, y > 0) for t, y in zip(texts, label[first : first + len(texts)], strict=True) for p in pieces(t or "")]
+                for c, part in [(c, g) for c in (0, 1) for g in _runs([p for p, y in marked if y == c])]:
+                    g, h, _, _ = _grams(part, cfg)
                     k, m = np.unique((g << cfg.bits) | h, return_counts=True)
                     add = np.zeros((len(k), 2), np.int64)
                     add[:, c] = m
@@ -104,6 +118,9 @@ class KneserNey:
 
     def word_ratios(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood ratio (toxic over ordinary) of every word, and words per text."""
+        if len(texts) == 1 and texts[0] and len(texts[0]) > 1 << 20:  # a very long text is a slice of its own
+            parts = [self.word_ratios([p]) for p in pieces(texts[0])]
+            return np.concatenate([r for r, _ in parts]), sum(n for _, n in parts)
         g, h, ends, counts = _grams(texts, self.cfg)
         if not counts.sum():
             return np.empty(0), counts

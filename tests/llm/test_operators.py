@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillfold.llm import chat_format, decontaminate, language_id, license_scan, mixing, near_dedup, quality_model, quality_rules, token_count, toxicity
+from quillfold.llm import chat_format, common, decontaminate, language_id, license_scan, mixing, near_dedup, quality_model, quality_rules, token_count, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -244,6 +244,20 @@ def test_flat_trees_walk_like_nested_ones():
         assert 1 / (1 + np.exp(-raw)) == pytest.approx(m.scores(row[None])[0])
 
 
+def test_very_long_texts_go_in_pieces():
+    text = ("lorem ipsum " * 3 + "dolor\n") * 60_000
+    assert "".join(common.pieces(text, 1000)) == text and max(map(len, common.pieces(text, 1000))) <= 1000
+    assert list(common.pieces("x" * 25, 10)) == ["x" * 10, "x" * 10, "x" * 5]
+    cfg = toxicity.ToxicityConfig(bits=12)
+    rng = np.random.default_rng(0)
+    model = toxicity.KneserNey(cfg, *(rng.integers(0, 9, (n, 1 << 12)).astype(np.float32) for n in (2, 2, 3)))
+    ratio, counts = model.word_ratios([text])
+    whole, number = model.word_ratios([text[: 1 << 19]])
+    assert counts.sum() == len(text.split()) == len(ratio) and np.allclose(ratio[: len(whole) - 1], whole[:-1]) and number[0] == len(whole)
+    n = language_id.ngram_counts([text, "lorem"], language_id.LanguageConfig(sizes=(2, 3)))
+    assert n.shape[0] == 2 and n[0].sum() > 2_000_000
+
+
 # op8 -------------------------------------------------------------------------------------------
 
 
