@@ -95,7 +95,14 @@ def numbered(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
 
 def random_ids(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn(key, F.uuid() if hasattr(F, "uuid") else F.expr("uuid()"))
+    return rows.withColumn(key, F.expr("uuid()"))
+
+
+def ordered_ids(rows: DataFrame, key: str) -> DataFrame:
+    """Random ids of version 7: the first 48 bits are the time in milliseconds, so ids order by it."""
+    time = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()))), 12, "0")
+    rest = F.expr("uuid()")
+    return rows.withColumn(key, F.concat(F.substring(time, 1, 8), F.lit("-"), F.substring(time, 9, 4), F.lit("-7"), F.substring(rest, 16, 21)))
 
 
 def object_ids(rows: DataFrame, key: str) -> DataFrame:

@@ -60,9 +60,8 @@ def take_then_skip(df: DataFrame, order: list[str], take: int, skip: int) -> Dat
 
 
 def page_with_total(df: DataFrame, order: list[str], skip: int, take: int, name: str = "total") -> DataFrame:
-    """A page whose rows carry the number of all rows, which is counted in a separate aggregate."""
-    total = df.agg(F.count(F.lit(1)).alias(name))
-    return page(df, order, skip, take).crossJoin(F.broadcast(total))  # one row: the count
+    """A page whose rows carry the number of all rows, which a scalar subquery counts."""
+    return page(df, order, skip, take).withColumn(name, df.agg(F.count(F.lit(1))).scalar())
 
 
 def first(df: DataFrame, order: list[str]) -> Row | None:

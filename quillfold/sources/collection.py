@@ -7,6 +7,8 @@ readers never see half a write and nothing is overwritten while it is read.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -25,6 +27,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
+        self.active: set[Transaction] = set()
 
     def _fs(self, path: str) -> tuple[Any, Any]:
         jvm = self.spark.sparkContext._jvm
@@ -49,6 +52,22 @@ class Store:
     def collection(self, name: str, key: str, schema: T.StructType | None = None, **rules: Any) -> Collection:
         return Collection(self, name, key, schema, **rules)
 
+    def transaction(self) -> Transaction:
+        return Transaction(self)
+
+    def sql(self, query: str, **parameters: Any) -> DataFrame:
+        """A Spark SQL query over all collections as views, with ``:name`` parameters."""
+        for n in self.names():
+            self.spark.read.parquet(f"{self.path}/{n}/{self.versions(n)[-1]}").createOrReplaceTempView(n)
+        return self.spark.sql(query, args=parameters)
+
+    def copy_to(self, path: str) -> Store:
+        """The newest version of every collection, in another folder."""
+        target = Store(self.spark, path)
+        for n in self.names():
+            self.spark.read.parquet(f"{self.path}/{n}/{self.versions(n)[-1]}").write.mode("error").parquet(f"{target.path}/{n}/v00000001")
+        return target
+
     def statistics(self) -> DataFrame:
         """Versions and rows of every collection."""
         found = []
@@ -67,13 +86,29 @@ class Store:
 
 
 class Collection:
-    """One collection.  ``unique`` lists further unique keys, ``references`` maps fields to collections."""
+    """One collection.
+
+    ``unique`` lists further unique keys and ``sparse`` those whose rows with a null do not count;
+    ``references`` maps fields to collections.  ``layout`` sorts files by fields that are often
+    filtered on, so that the reader skips row groups; it never changes results.
+    """
 
     def __init__(
-        self, store: Store, name: str, key: str, schema: T.StructType | None = None, *, unique: list[list[str]] | None = None, references: dict[str, Collection] | None = None, strict: bool = False
+        self,
+        store: Store,
+        name: str,
+        key: str,
+        schema: T.StructType | None = None,
+        *,
+        unique: list[list[str]] | None = None,
+        sparse: list[list[str]] | None = None,
+        references: dict[str, Collection] | None = None,
+        layout: list[str] | None = None,
+        strict: bool = False,
     ) -> None:
         self.store, self.name, self.key, self.schema = store, name, key, schema
-        self.unique, self.references, self.strict = unique or [], references or {}, strict
+        self.unique, self.sparse, self.references = unique or [], sparse or [], references or {}
+        self.layout, self.strict = layout or [], strict
 
     # reading
     def version(self) -> str | None:
@@ -157,42 +192,60 @@ class Collection:
     def _current(self, like: DataFrame) -> DataFrame:
         return self.find_all() if self.version() or self.schema else like.limit(0)
 
-    def check(self, table: DataFrame) -> None:
-        """Raise unless keys are unique, references resolve and declared fields are there."""
+    def check(self, table: DataFrame, read: Callable[[Collection], DataFrame] | None = None) -> None:
+        """Raise unless keys are unique, references resolve and declared fields are there.
+
+        ``read`` gives referenced collections, as a transaction sees them.
+        """
         for columns in ([self.key], *self.unique):
             constraints.require(constraints.duplicates(table, *columns), f"duplicate {columns} in {self.name}")
+        for columns in self.sparse:
+            constraints.require(constraints.duplicates(table, *columns, sparse=True), f"duplicate {columns} in {self.name}")
         for fk, target in self.references.items():
-            constraints.require(constraints.dangling(table, fk, target.find_all(), target.key), f"{fk} refers to nothing")
+            there = read(target) if read else target.find_all()
+            constraints.require(constraints.dangling(table, fk, there, target.key), f"{fk} refers to nothing")
         if self.schema:
             constraints.require(constraints.violations(table, self.schema, self.strict), f"missing fields in {self.name}")
 
-    def commit(self, table: DataFrame, planned_on: str | None = "") -> str:
+    def commit(self, table: DataFrame, planned_on: str | None = "", checked: bool = False) -> str:
         """Write ``table`` as the next version; ``planned_on`` is the version it was planned on."""
         self.store._writable()
-        self.check(table)
+        if not checked:
+            self.check(table)
         now = self.version()
         if planned_on != "" and planned_on != now:
             raise WriteConflict(f"{self.name} is at {now}, not {planned_on}")
         number = int(now[1:]) + 1 if now else 1
         path = f"{self.store.path}/{self.name}/v{number:08d}"
+        table = table.sortWithinPartitions(*self.layout) if self.layout else table
         table.write.mode("error").parquet(path)  # a second writer of the same version fails here
         return path
 
     def compact(self, files: int) -> str:
         return self.commit(self.find_all().repartition(files), self.version())
 
-    def transaction(self) -> Transaction:
-        return Transaction(self)
+    def transaction(self) -> Pending:
+        return self.store.transaction().on(self)
 
 
 class Transaction:
-    """Pending changes of one collection, visible to its own reads, written as one version on commit."""
+    """Pending changes of collections of one store, in order; nothing is written before the commit.
+
+    Reads through the transaction see its changes, checks of references too.  A commit fails if
+    another writer has made a version of a changed collection since its first change here.  Each
+    collection's new version appears at once; the collections appear one after the other.
+    """
 
-    MOST = 10_000
+    MOST_STEPS, SECONDS, MOST_ACTIVE = 10_000, 300, 100
 
-    def __init__(self, collection: Collection) -> None:
-        self.collection, self.base, self.steps = collection, collection.version(), []
+    def __init__(self, store: Store) -> None:
+        self.store, self.began = store, time.monotonic()
+        self.steps: list[tuple[Collection, Callable[[DataFrame], DataFrame]]] = []
+        self.bases: dict[str, str | None] = {}
         self.marks: dict[str, int] = {}
+        if len(store.active) >= self.MOST_ACTIVE:
+            raise RuntimeError(f"more than {self.MOST_ACTIVE} transactions")
+        store.active.add(self)
 
     def __enter__(self) -> Transaction:
         return self
@@ -200,30 +253,28 @@ class Transaction:
     def __exit__(self, kind: Any, *_: Any) -> None:
         if kind is None:
             self.commit()
-
-    def _add(self, step: Any) -> None:
-        if len(self.steps) >= self.MOST:
-            raise RuntimeError(f"more than {self.MOST} steps")
-        self.steps.append(step)
-
-    def insert(self, new: DataFrame) -> None:
-        self._add(lambda t: changes.insert(t, new))
-
-    def upsert(self, new: DataFrame) -> None:
-        self._add(lambda t: changes.upsert(t, new, self.collection.key))
-
-    def delete_where(self, condition: Column) -> None:
-        self._add(lambda t: changes.delete_where(t, condition))
-
-    def set_where(self, condition: Column, **values: Any) -> None:
-        self._add(lambda t: changes.set_where(t, condition, self.collection.key, **values))
-
-    def read(self) -> DataFrame:
-        """The collection with all pending changes applied in order."""
-        table = self.collection.find_all()
-        for step in self.steps:
-            table = step(table)
-        return table
+        else:
+            self.rollback()
+
+    def on(self, collection: Collection) -> Pending:
+        return Pending(self, collection)
+
+    def add(self, collection: Collection, step: Callable[[DataFrame], DataFrame]) -> None:
+        if len(self.steps) >= self.MOST_STEPS:
+            raise RuntimeError(f"more than {self.MOST_STEPS} steps")
+        if time.monotonic() - self.began > self.SECONDS:
+            self.rollback()
+            raise TimeoutError(f"the transaction is older than {self.SECONDS} seconds")
+        self.bases.setdefault(collection.name, collection.version())
+        self.steps.append((collection, step))
+
+    def read(self, collection: Collection) -> DataFrame:
+        """The collection with its pending changes applied in order."""
+        table = None
+        for c, step in self.steps:
+            if c.name == collection.name:
+                table = step(c.find_all() if table is None else table)
+        return collection.find_all() if table is None else table
 
     def savepoint(self, name: str) -> None:
         self.marks[name] = len(self.steps)
@@ -236,8 +287,49 @@ class Transaction:
 
     def rollback(self) -> None:
         self.steps.clear()
+        self.store.active.discard(self)
 
     def commit(self) -> None:
-        if self.steps:
-            self.collection.commit(self.read(), self.base)
-            self.steps.clear()
+        changed = list({c.name: c for c, _ in self.steps}.values())
+        for c in changed:
+            if c.version() != self.bases[c.name]:
+                raise WriteConflict(f"{c.name} has changed since {self.bases[c.name]}")
+            c.check(self.read(c), self.read)
+        after = [(c, self.read(c)) for c in changed]
+        for c, table in after:
+            c.commit(table, self.bases[c.name], checked=True)
+        self.rollback()
+
+
+class Pending:
+    """One collection inside a transaction."""
+
+    def __init__(self, transaction: Transaction, collection: Collection) -> None:
+        self.transaction, self.collection = transaction, collection
+
+    def __enter__(self) -> Pending:
+        return self
+
+    def __exit__(self, *what: Any) -> None:
+        self.transaction.__exit__(*what)
+
+    def __getattr__(self, name: str) -> Any:  # savepoints, commit and rollback are the transaction's
+        return getattr(self.transaction, name)
+
+    def insert(self, new: DataFrame) -> None:
+        self.transaction.add(self.collection, lambda t: changes.insert(t, new))
+
+    def upsert(self, new: DataFrame) -> None:
+        self.transaction.add(self.collection, lambda t: changes.upsert(t, new, self.collection.key))
+
+    def update(self, new: DataFrame) -> None:
+        self.transaction.add(self.collection, lambda t: changes.update(t, new, self.collection.key))
+
+    def delete_where(self, condition: Column) -> None:
+        self.transaction.add(self.collection, lambda t: changes.delete_where(t, condition))
+
+    def set_where(self, condition: Column, **values: Any) -> None:
+        self.transaction.add(self.collection, lambda t: changes.set_where(t, condition, self.collection.key, **values))
+
+    def read(self) -> DataFrame:
+        return self.transaction.read(self.collection)

@@ -69,6 +69,11 @@ def test_pages_are_one_top_k(spark):
     assert "TakeOrderedAndProject" in plan(df) and len(df.collect()) == 10
 
 
+def test_totals_need_no_join(spark):
+    df = rows.page_with_total(spark.read.parquet(f"{SF}/orders.parquet"), ["o_orderkey"], 3, 7)
+    assert "Join" not in plan(df) and "Cartesian" not in plan(df) and {r.total for r in df.collect()} == {1500}
+
+
 def test_strings(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \t"), (4, "certificate"), (5, "Abc")], "id int, t string")
     ids = lambda cond: [r.id for r in df.where(cond).orderBy("id").collect()]
@@ -188,6 +193,30 @@ def test_collection_life(spark, tmp_path):
     assert not store.exists("orders")
 
 
+def test_transactions_over_collections(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "two"))
+    make = lambda data, schema: spark.createDataFrame(data, schema)
+    people = store.collection("people", "id", T.StructType([T.StructField("id", T.StringType()), T.StructField("mail", T.StringType())]), sparse=[["mail"]], layout=["mail"])
+    orders = store.collection("orders", "id", T.StructType([T.StructField("id", T.IntegerType()), T.StructField("who", T.StringType())]), references={"who": people})
+    with store.transaction() as tx:  # a row and the row it refers to
+        tx.on(orders).insert(make([(1, "u")], "id int, who string"))
+        tx.on(people).insert(make([("u", None), ("v", None)], "id string, mail string"))
+        assert tx.on(orders).read().count() == 1 and orders.count() == 0
+    assert orders.count() == 1 and people.count() == 2
+    with pytest.raises(constraints.ConstraintError), store.transaction() as tx:
+        tx.on(orders).insert(make([(2, "nobody")], "id int, who string"))
+    with pytest.raises(constraints.ConstraintError):
+        people.upsert(make([("u", "m"), ("v", "m")], "id string, mail string"))
+    with pytest.raises(KeyError), store.transaction() as tx:
+        tx.on(people).delete_where(F.lit(True))
+        raise KeyError
+    assert people.count() == 2 and orders.count() == 1
+    assert store.sql("SELECT o.id FROM orders o JOIN people p ON o.who = p.id WHERE p.id = :who", who="u").count() == 1
+    assert store.copy_to(str(tmp_path / "copy")).names() == ["orders", "people"]
+    people.compact(1)
+    assert people.count() == 2 and people.version() == "v00000002"
+
+
 def test_schema_text_and_ids(spark):
     schema = T.StructType([constraints.field("id", "int", required=True, key=True), constraints.field("n", "string", default="x")])
     assert constraints.ddl("t", schema) == 'create table "t" (\n  "id" "int" pk required,\n  "n" "string" default \'x\'\n);'
@@ -199,6 +228,8 @@ def test_schema_text_and_ids(spark):
     assert sorted(r.id for r in new.collect()) == list(range(6, 26))
     ids = [r.k for r in constraints.object_ids(spark.range(3), "k").collect()]
     assert len(set(ids)) == 3 and all(len(i) == 24 for i in ids) and constraints.random_ids(spark.range(2), "k").distinct().count() == 2
+    v7 = [r.k for r in constraints.ordered_ids(spark.range(3), "k").collect()]
+    assert len(set(v7)) == 3 and all(len(k) == 36 and k[14] == "7" for k in v7)
 
 
 def test_windows_stream_as_they_batch(spark, tmp_path):
