@@ -132,8 +132,14 @@ def fit_languages(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), *, id
     df = {r.dim: r.n for r in seen}
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(d, 0))) + 1 for d in range(cfg.dims)], np.float32)
 
+    # a hash share of each language about twice the sample first, so that no task ranks a whole language
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = known.where(F.col("lang").isNotNull() & (crc_fold("doc_id", cfg.folds) != cfg.held_out)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    near = learn.select("doc_id", "lang", h.alias("h")).join(small_side(sizes), "lang")
+    near = near.where(F.pmod("h", F.lit(1 << 31)) * F.col("n") < 2.0 * cfg.sample * (1 << 31))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picks = learn.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).withColumn("k", order).where(F.col("k") <= cfg.sample)
+    picks = near.withColumn("k", order).where(F.col("k") <= cfg.sample)
     sample = learn.join(small_side(picks.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", F.substring("text", 1, cfg.sample_chars).alias("text"))
     shared = spark.sparkContext.broadcast(idf)
 
