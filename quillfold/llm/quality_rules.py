@@ -6,7 +6,7 @@ are rejected" must be refuted by the exact binomial tail of the good documents t
 rejects.  The sequence stops at its first failure, so each (stratum, rule) is one test whatever the
 number of cutoffs; Bonferroni covers the strata and rules.  With probability ``1 - delta`` no stratum
 then loses more than ``alpha`` of its good documents to the rules.  Among the certified cutoffs the
-one is used that best tells rejected from good labels; a stratum with too few labels for any
+one is used that catches most bad documents, a lost good one counting ``cost`` times; a stratum with too few labels for any
 guarantee keeps everything.
 """
 
@@ -42,6 +42,7 @@ GRID = np.r_[np.geomspace(8, 1, 13), np.linspace(0.98, 0.02, 49)]
 class RuleConfig:
     alpha: float = 0.02  # bound on the good documents that the rules reject, in each stratum
     delta: float = 0.05  # probability that the bound fails in any stratum
+    cost: float = 10.0  # of a share of good documents, in shares of bad ones, among certified cutoffs
     max_strata: int = 64  # the strata with most labels; the others share one
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -107,7 +108,7 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(log_choose + i * math.log(p) + (n - i) * math.log1p(-p)).sum()))
 
 
-def certified_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, level: float) -> float:
+def certified_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, level: float, cost: float = 10.0) -> float:
     """The cutoff to use, infinite if none is certified or useful.
 
     ``good[j]`` and ``bad[j]`` count the documents that pass exactly the last ``len(GRID) - j``
@@ -119,7 +120,7 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, level: flo
     for j, c in enumerate(GRID):
         if n == 0 or binomial_tail(int(lost[j]), n, alpha) > level:
             break
-        gain = (caught[j] / m if m else 0.0) - lost[j] / n
+        gain = (caught[j] / m if m else 0.0) - cost * lost[j] / n
         if gain > best + 1e-12:
             best, cutoff = gain, float(c)
     return cutoff
@@ -161,7 +162,7 @@ def learn_cutoffs(
     for r in counts.groupBy(pooled.alias("s"), "rule", "step", "label").agg(F.sum("n").alias("n")).collect():
         hist[r.s][r.rule, max(0, r.label), r.step] += r.n
     level = cfg.delta / (len(RULES) * len(hist))
-    return {s: [certified_cutoff(h[1], h[0], cfg.alpha / len(RULES), level) for h in x] for s, x in hist.items()}
+    return {s: [certified_cutoff(h[1], h[0], cfg.alpha / len(RULES), level, cfg.cost) for h in x] for s, x in hist.items()}
 
 
 def apply_rules(docs: DataFrame, cutoffs: dict[str, list[float]], cfg: RuleConfig = RuleConfig(), *, stratum_col: str = "lang", text_col: str = "text", out_col: str = "rules") -> DataFrame:
