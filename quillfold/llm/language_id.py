@@ -27,6 +27,7 @@ _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 class LanguageConfig:
     sizes: tuple[int, ...] = (1, 2, 3)  # bytes of an n-gram
     dims: int = 4096  # hashed dimensions
+    tf_power: float = 1.0  # term weights are counts to this power times inverse document frequencies
     centroids: int = 4  # per language
     sample: int = 400  # training texts per language for the centroids (the bound of the sample)
     sample_chars: int = 200_000  # of each of them; document frequencies and predictions use whole texts
@@ -77,7 +78,7 @@ class LanguageModel:
     limits: np.ndarray  # smallest accepted cosine of each language
 
     def unit_rows(self, texts: list[str | None]) -> np.ndarray:
-        return _unit(np.log1p(ngram_counts(texts, self.cfg)) * self.idf)
+        return _unit(ngram_counts(texts, self.cfg) ** self.cfg.tf_power * self.idf)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         names, scores, far = [], [], []
@@ -147,7 +148,7 @@ def fit_languages(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), *, id
         texts = [x for x in t["text"].to_pylist() if _has_letter(x)]
         if not texts:
             return pa.table({"lang": pa.array([], pa.string()), "limit": pa.array([], pa.float64()), "v": pa.array([], pa.list_(pa.float32()))})
-        x = _unit(np.concatenate([np.log1p(ngram_counts(p, cfg)) for p in _chunks(sorted(texts))]) * shared.value)
+        x = _unit(np.concatenate([ngram_counts(p, cfg) ** cfg.tf_power for p in _chunks(sorted(texts))]) * shared.value)
         c = spherical_kmeans(x, cfg.centroids)
         limit = float(np.quantile((x @ c.T).max(axis=1), cfg.rejection))
         n = len(c)
