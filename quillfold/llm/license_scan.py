@@ -1,8 +1,7 @@
 """License scan: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Templates are grouped by shingle length and size.  For each group the text is cut into windows half
-as long again as its largest template, so close together that every copy of a template lies inside
-one.  A band is one minimum; the number of bands follows from the smallest similarity that a
+Templates are grouped by shingle length and size.  For each group the text is cut into windows little
+longer than its largest template, so close together that every copy of a template lies inside one.  A band is one minimum; the number of bands follows from the smallest similarity that a
 template of the group can have with a window that holds enough of it, so that such a window is
 missed with probability at most ``miss``.  Windows and templates that meet in a band are confirmed on
 their exact shingles.  The text is read once, in place: no shuffle and no join.
@@ -52,12 +51,18 @@ class _Group:
 
     @property
     def step(self) -> int:
-        return math.ceil(self.longest / 2) + 1
+        """Words between the starts of windows; short ones start at every word."""
+        return max(1, self.longest // 8)
+
+    @property
+    def window(self) -> int:
+        """Words of a window."""
+        return self.longest + self.step - 1
 
     @property
     def span(self) -> int:
-        """Shingles of a window of ``longest + ceil(longest / 2)`` words."""
-        return self.longest + math.ceil(self.longest / 2) - self.k + 1
+        """Shingles of a window."""
+        return self.window - self.k + 1
 
     def bands(self, cfg: LicenseConfig) -> int:
         low = min(math.ceil(cfg.containment * len(s)) / (self.span + len(s) - math.ceil(cfg.containment * len(s))) for s in self.sets)
@@ -76,13 +81,13 @@ def _grams(w: np.ndarray, k: int) -> np.ndarray:
 
 
 def group_templates(templates: dict[str, str], cfg: LicenseConfig) -> list[_Group]:
-    """Groups in which the largest template has at most one and a half times the words of the smallest."""
+    """Groups in which the largest template has at most five quarters of the words of the smallest."""
     sized = sorted((len(w), n, w) for n, t in templates.items() if (w := words_of(t)))
     groups: list[_Group] = []
     smallest = 0
     for n, name, w in sized:
         k = min(cfg.shingle_words, n)
-        if not groups or groups[-1].k != k or 2 * n > 3 * smallest:
+        if not groups or groups[-1].k != k or 4 * n > 5 * smallest:
             groups.append(_Group(k, n, [], []))
             smallest = n
         groups[-1].longest = n
