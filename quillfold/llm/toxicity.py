@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import array_slices, fit_logistic, labelled, materialise, mix64, per_text, pieces, spare_name
+from quillfold.llm.common import array_slices, fit_logistic, labelled, materialise, per_text, pieces, spare_name
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    order: int = 6  # bytes of an n-gram
+    order: int = 6  # bytes of an n-gram, 8 at most
     bits: int = 20  # n-grams are counted in 2**bits buckets
     discount: float = 0.75
     calibration_share: int = 4  # one in so many learning rows fits the calibration instead of the counts
@@ -45,18 +45,17 @@ def _grams(texts: list[str | None], cfg: ToxicityConfig) -> tuple[np.ndarray, np
     n = len(b)
     place = np.arange(n)
     blank = b == 32
-    before = np.maximum.accumulate(np.where(blank, place, 0))
     reach = np.zeros(n, np.int64)
-    reach[1:] = place[1:] - before[:-1]  # bytes back to the blank that starts the word
-    h = np.zeros(n, np.uint64)
+    reach[1:] = place[1:] - np.maximum.accumulate(np.where(blank, place, 0))[:-1]  # bytes back to the word's first blank
+    context = np.zeros(n, np.uint64)  # the bytes before, packed; only those of the word count
     for k in range(1, cfg.order):
-        part = np.zeros(n, np.uint64)
-        part[k:] = b[:-k] + np.uint64(1)
-        part[reach < k] = 0
-        h = h * np.uint64(0x100000001B3) + part
-    g = mix64(h * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(1))
+        context[k:] |= b[: n - k] << np.uint64(8 * (k - 1))
+    kept = np.array([(1 << (8 * k)) - 1 for k in range(cfg.order)], np.uint64)
+    context &= kept[np.minimum(reach, cfg.order - 1)]
     down = np.uint64(64 - cfg.bits)
-    return (g >> down).astype(np.int64)[1:], (mix64(h) >> down).astype(np.int64)[1:], np.flatnonzero(blank[1:]), counts
+    g = (((context << np.uint64(8)) | b) * np.uint64(0x9E3779B97F4A7C15)) >> down
+    h = ((context + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> down
+    return g.view(np.int64)[1:], h.view(np.int64)[1:], np.flatnonzero(blank[1:]), counts
 
 
 def _runs(parts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
@@ -102,17 +101,16 @@ def _count_ngrams(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
 
 @dataclass
 class KneserNey:
-    """Dense count tables: n-grams, contexts and distinct followers of contexts, by class."""
+    """Dense count tables of hashed n-grams and contexts."""
 
     cfg: ToxicityConfig
-    gram: np.ndarray  # [2, buckets]
-    context: np.ndarray  # [2, buckets]
-    kinds: np.ndarray  # [3, buckets]: ordinary, toxic, either
+    gram: np.ndarray  # [buckets, 2]: ordinary, toxic
+    context: np.ndarray  # [buckets, 5]: totals of both, then distinct followers: ordinary, toxic, either
     calibration: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     prior: float = 0.0
 
     def _smoothed(self, c: np.ndarray, total: np.ndarray, kinds: np.ndarray, backoff: np.ndarray | float) -> np.ndarray:
-        d = self.cfg.discount
+        d = np.float32(self.cfg.discount)
         p = (np.maximum(c - d, 0) + d * np.maximum(kinds, 1) * backoff) / np.maximum(total, 1)
         return np.where(total > 0, p, backoff)
 
@@ -124,9 +122,9 @@ class KneserNey:
         g, h, ends, counts = _grams(texts, self.cfg)
         if not counts.sum():
             return np.empty(0), counts
-        c, t, k = self.gram[:, g], self.context[:, h], self.kinds[:, h]
-        shared = self._smoothed(c[0] + c[1], t[0] + t[1], k[2], 1 / 64)
-        ratio = np.log(self._smoothed(c[1], t[1], k[1], shared)) - np.log(self._smoothed(c[0], t[0], k[0], shared))
+        (c0, c1), (t0, t1, k0, k1, k) = self.gram[g].T, self.context[h].T
+        shared = self._smoothed(c0 + c1, t0 + t1, k, np.float32(1 / 64))
+        ratio = np.log(self._smoothed(c1, t1, k1, shared) / self._smoothed(c0, t0, k0, shared))
         return np.diff(np.r_[0.0, np.cumsum(ratio, dtype=np.float64)[ends]]), counts
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -162,16 +160,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(cfg.calibration_share))
     table = materialise(_count_ngrams(learn.where(part != 0), cfg))
     size = 1 << cfg.bits
-    gram, context, kinds = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32), np.zeros((3, size), np.float32)
+    gram, context = np.zeros((size, 2), np.float32), np.zeros((size, 5), np.float32)
     for b in table.groupBy("g").agg(F.sum("c0"), F.sum("c1")).toArrow().to_batches():
         g, c0, c1 = (np.asarray(c) for c in b.columns)
-        gram[0, g], gram[1, g] = c0, c1
+        gram[g, 0], gram[g, 1] = c0, c1
     seen = [F.count_if(F.col(c) > 0) for c in ("c0", "c1")]
     for b in table.groupBy("h").agg(F.sum("c0"), F.sum("c1"), *seen, F.count(F.lit(1))).toArrow().to_batches():
-        h, c0, c1, k0, k1, k = (np.asarray(c) for c in b.columns)
-        context[0, h], context[1, h] = c0, c1
-        kinds[0, h], kinds[1, h], kinds[2, h] = k0, k1, k
-    model = KneserNey(cfg, gram, context, kinds)
+        h, *found = (np.asarray(c) for c in b.columns)
+        context[h] = np.stack(found, axis=1)
+    model = KneserNey(cfg, gram, context)
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

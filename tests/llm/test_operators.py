@@ -252,7 +252,7 @@ def test_very_long_texts_go_in_pieces():
     assert list(common.pieces("x" * 25, 10)) == ["x" * 10, "x" * 10, "x" * 5]
     cfg = toxicity.ToxicityConfig(bits=12)
     rng = np.random.default_rng(0)
-    model = toxicity.KneserNey(cfg, *(rng.integers(0, 9, (n, 1 << 12)).astype(np.float32) for n in (2, 2, 3)))
+    model = toxicity.KneserNey(cfg, *(rng.integers(0, 9, (1 << 12, n)).astype(np.float32) for n in (2, 5)))
     ratio, counts = model.word_ratios([text])
     whole, number = model.word_ratios([text[: 1 << 19]])
     assert counts.sum() == len(text.split()) == len(ratio) and np.allclose(ratio[: len(whole) - 1], whole[:-1]) and number[0] == len(whole)
