@@ -284,6 +284,7 @@ def _pivot_pairs(rest: DataFrame, sets: DataFrame, percent: int, bits: int = 20,
     sizes = rest.groupBy("mid").agg(F.count(F.lit(1)).alias("size"))
     often = rest.join(own, "cid").select("mid", F.explode("grams").alias("g")).groupBy("mid", "g").agg(F.count(F.lit(1)).alias("k"))
     core = often.join(sizes, "mid").where(F.col("k") >= core_share * F.col("size")).groupBy("mid").agg(F.collect_list("g").alias("core"))
+    core = materialise(core)  # joined as a table, so that the rows of a large group can be split
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +328,7 @@ def _pivot_pairs(rest: DataFrame, sets: DataFrame, percent: int, bits: int = 20,
                 ["mid", "cid", "comp", "w", "c", "f", "low", "left"],
             )
 
-    nearest = rows.groupBy("mid").agg(F.min(F.struct("w", "cid", "comp")).alias("top"))
+    nearest = materialise(rows.groupBy("mid").agg(F.min(F.struct("w", "cid", "comp")).alias("top")))
     ranked = rows.join(nearest, "mid")
     heads = materialise(
         ranked.select("mid", "cid", "comp", "w", "c", F.col("top.w").alias("least"), "diff").mapInArrow(
