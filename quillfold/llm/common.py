@@ -30,16 +30,15 @@ def scratch_dir(spark: SparkSession) -> str:
     Executors and the driver all see that folder.  Only where the setting is absent (tests) is a
     local one made.  The folder is removed when the driver process ends.
     """
-    jsc = spark.sparkContext._jsc.sc()
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
-        base = jsc.getCheckpointDir()
-        if base.isEmpty():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
             import tempfile
 
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillfold-"))
-            base = jsc.getCheckpointDir()
-        _SCRATCH[app] = f"{base.get()}/tables"
+            base = tempfile.mkdtemp(prefix="quillfold-")
+            spark.sparkContext.setCheckpointDir(base)
+        _SCRATCH[app] = f"{base.rstrip('/')}/quillfold-{app}"
         atexit.register(_remove, spark, _SCRATCH[app])
     return _SCRATCH[app]
 
