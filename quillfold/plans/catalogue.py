@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from quillfold.functions import compare as c
 from quillfold.functions import scalar as s
 from quillfold.operators import aggregates as a
 from quillfold.operators import changes, constraints, rows
+from quillfold.sources.collection import Store
 from quillfold.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,3 +480,48 @@ def txn_overlay(nation):
         [(0, None, 1, True), (1, "FIRST", 2, False), (1, "OVERLAID", 3, False), (500, "PENDING", 4, False)], "n_nationkey int, n_name string, seq int, gone boolean"
     )
     return changes.overlay(nation.select("n_nationkey", "n_name"), pending, "n_nationkey", "seq", "gone")
+
+
+# collections on storage ------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession) -> Store:
+    """A new store in the shared folder; a local one only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillfold-")
+    return Store(spark, f"{base.rstrip('/')}/stores/{uuid.uuid4().hex}")
+
+
+@query("nation", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'LOW' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 7 UNION ALL SELECT 99, 'NOWHERE', 0")
+def store_changes(nation):
+    """Insert, update, delete and upsert, each written as a version and read back."""
+    c_ = _store(nation.sparkSession).collection("nation", "n_nationkey", layout=["n_regionkey"])
+    c_.insert(nation)
+    c_.set_where(c.lt(F.col("n_nationkey"), 5), n_name="LOW")
+    c_.delete([7, 7, None])
+    c_.upsert(nation.where("n_nationkey = 8").unionByName(nation.sparkSession.createDataFrame([(99, "NOWHERE", 0)], nation.schema)))
+    return c_.find_all()
+
+
+@query("customer orders", "SELECT o_orderkey, CASE WHEN o_custkey = 1 THEN 'RENAMED' ELSE c_name END AS c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 300000")
+def store_transaction(customer, orders):
+    """Two collections changed in one transaction, then references loaded."""
+    store = _store(customer.sparkSession)
+    people = store.collection("customer", "c_custkey", customer.schema)
+    bought = store.collection("orders", "o_orderkey", orders.schema, references={"o_custkey": people})
+    with store.transaction() as tx:
+        tx.on(bought).insert(orders)
+        tx.on(people).insert(customer)
+        tx.savepoint("all")
+        tx.on(bought).delete_where(F.lit(True))
+        tx.rollback_to("all")
+        tx.on(bought).delete_where(c.lt(F.col("o_totalprice"), 300000))
+        tx.on(people).set_where(c.eq(F.col("c_custkey"), 1), c_name="RENAMED")
+    return bought.include("o_custkey", "customer").select("o_orderkey", F.col("customer.c_name").alias("c_name"))
+
+
+@query("orders", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus")
+def store_sql(orders):
+    """SQL text with parameters over a stored collection."""
+    store = _store(orders.sparkSession)
+    store.collection("shop_orders", "o_orderkey").insert(orders)
+    return store.sql("SELECT o_orderstatus, count(*) AS n FROM shop_orders WHERE o_totalprice > :least GROUP BY o_orderstatus", least=1000)
