@@ -48,7 +48,7 @@ def _grams(texts: list[str | None], cfg: ToxicityConfig) -> tuple[np.ndarray, np
     reach = np.zeros(n, np.int64)
     reach[1:] = place[1:] - np.maximum.accumulate(np.where(blank, place, 0))[:-1]  # bytes back to the word's first blank
     context = np.zeros(n, np.uint64)  # the bytes before, packed; only those of the word count
-    for k in range(1, cfg.order):
+    for k in range(1, min(cfg.order, n)):
         context[k:] |= b[: n - k] << np.uint64(8 * (k - 1))
     kept = np.array([(1 << (8 * k)) - 1 for k in range(cfg.order)], np.uint64)
     context &= kept[np.minimum(reach, cfg.order - 1)]

@@ -366,3 +366,17 @@ def test_queries_hash_what_they_say(spark):
     assert rows[-1].n_turns == 2 and rows[-1].loss_chars == len(trap)
     assert rows[-1].loss_sha256 == hashlib.sha256(trap.encode()).hexdigest()
     assert rows[-1].turns_sha256 == hashlib.sha256(f"user\n{trap}\nassistant\n{trap}\n".encode()).hexdigest()
+
+
+def test_empty_tables(spark, tables):
+    none, docs = frame(spark, ODD).limit(0), frame(spark, ODD)
+    labels, items = tables["labels"].limit(0), tables["benchmark"].limit(0)
+    assert set(map(tuple, quality_rules.learn_cutoffs(docs, labels).values())) == {(np.inf,) * 4}
+    assert quality_rules.drop_low_quality(none, tables["labels"]).count() == 0
+    assert decontaminate.drop_contaminated(docs, items).count() == len(ODD)
+    assert decontaminate.find_contamination(none, tables["benchmark"]).count() == 0
+    assert toxicity.drop_toxic(docs, labels).count() == len(ODD)
+    assert token_count.count_tokens(none).count() == 0 and mixing.take_mix(none).count() == 0
+    assert near_dedup.drop_near_duplicates(none).count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, tables["documents"].limit(0), SF).count() == 0, name
