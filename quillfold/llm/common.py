@@ -158,7 +158,7 @@ BROADCAST_ROWS = 2_000_000
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for a broadcast join if a count proves it small, else as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int | None, id_col: str = "doc_id", text_col: str = "text", **also: F.Column) -> DataFrame:
