@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillfold.llm.common import materialise, mix64, small_side, text_slices
 from quillfold.llm.components import connected_components
 
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 @dataclass(frozen=True)
@@ -57,9 +57,9 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(n, len(w))
     grams = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):  # the order of the words matters: each place is mixed in anew
-        grams = mix64(grams * np.uint64(_MULTIPLIERS[k % 5]) + w[k : len(w) - n + 1 + k])
-    return np.unique(grams)
+    for k in range(n):  # a polynomial in the order of the words
+        grams = grams * np.uint64(_MULTIPLIERS[0]) + w[k : len(w) - n + 1 + k]
+    return np.unique(mix64(grams))
 
 
 def class_id(grams: np.ndarray) -> int:
@@ -72,44 +72,44 @@ def _signer(cfg: NearDup):
     k = cfg.bands * cfg.rows
     a = rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    band = np.repeat(np.arange(1, cfg.bands + 1, dtype=np.uint64), cfg.rows).reshape(cfg.bands, cfg.rows)
 
-    def sign(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def minima(x: np.ndarray) -> np.ndarray:
         low = None
-        for s in range(0, len(x), 512):
-            part = ((x[s : s + 512, None] * a + b) >> np.uint64(32)).min(axis=0)
+        for s in range(0, len(x), 256):
+            part = x[s : s + 256, None] * a
+            part += b
+            part = part.min(axis=0)
             low = part if low is None else np.minimum(low, part)
-        h = band[:, 0] * np.uint64(_MULTIPLIERS[0])
+        return low >> np.uint64(32)  # the order of the upper halves is that of the whole
+
+    def band_hashes(low: np.ndarray) -> np.ndarray:
+        rows = low.reshape(len(low), cfg.bands, cfg.rows)
+        h = np.arange(1, cfg.bands + 1, dtype=np.uint64) * np.uint64(_MULTIPLIERS[0])
         for r in range(cfg.rows):
-            h = mix64(h * np.uint64(_MULTIPLIERS[1]) + low.reshape(cfg.bands, cfg.rows)[:, r])
-        return low.astype(np.uint32).view(np.int32), h.view(np.int64)
+            h = mix64(h * np.uint64(_MULTIPLIERS[1]) + rows[:, :, r])
+        return h.view(np.int64)
 
-    return sign
+    return minima, band_hashes
 
 
 def sketch(docs: DataFrame, cfg: NearDup, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, cid, bands, sig``; a text without words has null ``cid`` and arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = _signer(cfg)
+        minima, band_hashes = _signer(cfg)
         for batch in batches:
             for first, texts in text_slices(batch):
-                n, cid, bands, sig = [], [], [], []
-                for t in texts:
-                    grams = shingle_hashes(words_of(t), cfg.shingle_words)
-                    n.append(len(grams))
-                    if len(grams):
-                        s, b = sign(grams)
-                        cid.append(class_id(grams)), bands.append(b), sig.append(s)
-                    else:
-                        cid.append(None), bands.append(None), sig.append(None)
+                sets = [shingle_hashes(words_of(t), cfg.shingle_words) for t in texts]
+                full = [g for g in sets if len(g)]
+                low = np.array([minima(g) for g in full], np.uint64).reshape(len(full), cfg.bands * cfg.rows)
+                bands, sig = iter(band_hashes(low)), iter(low.astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(texts)),
-                        pa.array(n, pa.int64()),
-                        pa.array(cid, pa.int64()),
-                        pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(sig, pa.list_(pa.int32())),
+                        pa.array([len(g) for g in sets], pa.int64()),
+                        pa.array([class_id(g) if len(g) else None for g in sets], pa.int64()),
+                        pa.array([next(bands) if len(g) else None for g in sets], pa.list_(pa.int64())),
+                        pa.array([next(sig) if len(g) else None for g in sets], pa.list_(pa.int32())),
                     ],
                     ["doc_id", "n_shingles", "cid", "bands", "sig"],
                 )
