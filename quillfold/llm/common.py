@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -161,11 +162,12 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int | None, id_col: str = "doc_id", text_col: str = "text", **also: F.Column) -> DataFrame:
+@contextmanager
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int | None, id_col: str = "doc_id", text_col: str = "text", **also: F.Column) -> Iterator[DataFrame]:
     """The rows of ``docs`` that may be learnt from, as ``doc_id, text, label`` and further columns ``also``.
 
     These have a label and, if ``folds`` is given, ``crc32(id as text) mod folds != 0``.  Repeated labels of an id count as
-    the largest of them.
+    the largest of them.  Used in a ``with`` block, in which all jobs on the rows must run.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -174,7 +176,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int | No
         .agg(F.max(label_col).cast("int").alias("label"))
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c.alias(n) for n, c in also.items()))
-    return rows.join(small_side(materialise(known)), "doc_id")
+    known = known.persist()  # recomputed if an executor is lost; freed when the fit is done
+    try:
+        yield rows.join(small_side(known), "doc_id")
+    finally:
+        known.unpersist()
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

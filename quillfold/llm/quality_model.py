@@ -143,8 +143,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, cfg: BoostConfig = BoostConf
                 x = pa.array([document_statistics(t) for t in texts], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([x, batch.column(1).slice(first, len(texts))], ["x", "label"])
 
-    rows = labelled(docs, some, label_col, cfg.folds, id_col, text_col).select("text", "label")
-    got = rows.mapInArrow(run, "x array<double>, label int").toArrow()
+    with labelled(docs, some, label_col, cfg.folds, id_col, text_col) as rows:
+        got = rows.select("text", "label").mapInArrow(run, "x array<double>, label int").toArrow()
     order = sorted(zip(got["x"].to_pylist(), got["label"].to_pylist(), strict=True))  # the same trees whatever the partitions
     x = np.array([r[0] for r in order], float) if order else np.zeros((0, 1))
     return fit_boosted(x, np.array([min(1, max(0, r[1])) for r in order], float), cfg)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import array_slices, labelled, materialise, per_text, spare_name, structs
+from quillfold.llm.common import array_slices, labelled, per_text, spare_name, structs
 
 _BLANK, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -134,7 +134,6 @@ def learn_cutoffs(
     Only the histogram (strata x rules x cutoffs) reaches the driver; ``""`` is the shared stratum.
     """
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
-    rows = labelled(docs, labels, label_col, None, id_col, text_col, stratum=stratum)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = GRID[::-1]
@@ -153,14 +152,16 @@ def learn_cutoffs(
                     [pa.array(out["stratum"], pa.string()), *(pa.array(out[c], pa.int32()) for c in ("rule", "step", "label"))], list(out)
                 )
 
-    counts = rows.select("text", "label", "stratum").mapInArrow(run, "stratum string, rule int, step int, label int")
-    counts = materialise(counts.groupBy("stratum", "rule", "step", "label").agg(F.count(F.lit(1)).alias("n")))
-    own = counts.groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(cfg.max_strata)
-    names = sorted(r.stratum for r in own.collect() if r.stratum)
-    pooled = F.when(F.col("stratum").isin(names), F.col("stratum")).otherwise(F.lit("")) if names else F.lit("")
-    hist = {s: np.zeros((len(RULES), 2, len(GRID) + 1), np.int64) for s in [*names, ""]}
-    for r in counts.groupBy(pooled.alias("s"), "rule", "step", "label").agg(F.sum("n").alias("n")).collect():
-        hist[r.s][r.rule, max(0, r.label), r.step] += r.n
+    with labelled(docs, labels, label_col, None, id_col, text_col, stratum=stratum) as rows:
+        counts = rows.select("text", "label", "stratum").mapInArrow(run, "stratum string, rule int, step int, label int")
+        counts = counts.groupBy("stratum", "rule", "step", "label").agg(F.count(F.lit(1)).alias("n")).persist()
+        own = counts.groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(cfg.max_strata)
+        names = sorted(r.stratum for r in own.collect() if r.stratum)
+        pooled = F.when(F.col("stratum").isin(names), F.col("stratum")).otherwise(F.lit("")) if names else F.lit("")
+        hist = {s: np.zeros((len(RULES), 2, len(GRID) + 1), np.int64) for s in [*names, ""]}
+        for r in counts.groupBy(pooled.alias("s"), "rule", "step", "label").agg(F.sum("n").alias("n")).collect():
+            hist[r.s][r.rule, max(0, r.label), r.step] += r.n
+        counts.unpersist()
     level = cfg.delta / (len(RULES) * len(hist))
     return {s: [certified_cutoff(h[1], h[0], cfg.alpha / len(RULES), level, cfg.cost) for h in x] for s, x in hist.items()}
 

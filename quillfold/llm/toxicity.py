@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import array_slices, fit_logistic, labelled, materialise, per_text, pieces, spare_name
+from quillfold.llm.common import array_slices, fit_logistic, labelled, per_text, pieces, spare_name
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -156,9 +156,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
 
     Without a row of either class the score is the share of toxic labels (0 without labels).
     """
-    learn = labelled(docs, labels, label_col, cfg.folds, id_col, text_col)
+    with labelled(docs, labels, label_col, cfg.folds, id_col, text_col) as learn:
+        return _fitted(learn, cfg)
+
+
+def _fitted(learn: DataFrame, cfg: ToxicityConfig) -> KneserNey:
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(cfg.calibration_share))
-    table = materialise(_count_ngrams(learn.where(part != 0), cfg))
+    table = _count_ngrams(learn.where(part != 0), cfg).persist()
     size = 1 << cfg.bits
     gram, context = np.zeros((size, 2), np.float32), np.zeros((size, 5), np.float32)
     for b in table.groupBy("g").agg(F.sum("c0"), F.sum("c1")).toArrow().to_batches():
@@ -168,9 +172,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     for b in table.groupBy("h").agg(F.sum("c0"), F.sum("c1"), *seen, F.count(F.lit(1))).toArrow().to_batches():
         h, *found = (np.asarray(c) for c in b.columns)
         context[h] = np.stack(found, axis=1)
+    table.unpersist()
     model = KneserNey(cfg, gram, context)
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = learn.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
