@@ -266,7 +266,7 @@ def _hashed_counts(values: DataFrame, column: str, bits: int) -> np.ndarray:
 def _pivot_pairs(rest: DataFrame, sets: DataFrame, percent: int, bits: int = 20, core_share: float = 0.3) -> DataFrame:
     """All pairs ``a, b`` of one group (``mid``) and two components that may be linked.
 
-    A group's core ``c`` holds the shingles of at least ``core_share`` of its sets.  A set ``x`` is
+    A group's core ``c`` holds the shingles of at least ``core_share`` of its sets, and may be empty.  A set ``x`` is
     described by its differences from the core: ``D(x)``, the ``M`` shingles of the core it lacks and
     the ``A`` it has besides.  With ``w(x) = 100 M + percent A``, ``x`` and ``y`` are linked exactly if
 
@@ -301,7 +301,8 @@ def _pivot_pairs(rest: DataFrame, sets: DataFrame, percent: int, bits: int = 20,
                 ["mid", "cid", "comp", "w", "c", "diff"],
             )
 
-    rows = rest.join(own, "cid").join(core, "mid").select("mid", "cid", "comp", "grams", "core")
+    none = F.array().cast("array<long>")  # a group in which no shingle is common enough: D(x) = x
+    rows = rest.join(own, "cid").join(core, "mid", "left").select("mid", "cid", "comp", "grams", F.coalesce("core", none).alias("core"))
     rows = materialise(rows.mapInArrow(differ, "mid long, cid long, comp long, w long, c long, diff array<long>"))
     counts = spark.sparkContext.broadcast(_hashed_counts(rows.select(F.explode("diff").alias("f")), "f", bits))
 

@@ -323,6 +323,23 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert got == brute_components(rows, k, 80)
 
 
+def test_pivot_pairs_of_a_group_without_a_core(spark):
+    rng = np.random.default_rng(5)
+    sets, comps = {}, {}
+    for family in range(8):  # no shingle is in more than 3 of 24 sets
+        own = rng.integers(0, 2**62, 40)
+        for k in range(3):
+            cid = 10 * family + k
+            sets[cid], comps[cid] = sorted({*own[k * 2 :].tolist(), *rng.integers(0, 2**62, k).tolist()}), cid
+    comps[1] = 0  # already linked, so not tried again
+    rest = spark.createDataFrame([(7, c, comps[c]) for c in sets], "mid long, cid long, comp long")
+    held = spark.createDataFrame(list(sets.items()), "cid long, grams array<long>")
+    got = {(r.a, r.b) for r in near_dedup._pivot_pairs(rest, held, 80).collect()}
+    linked = {(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert linked - {(0, 1)} <= got and len(linked) == 24
+    assert all(a // 10 == b // 10 for a, b in got)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_dedup.near_duplicates(frame(spark, [*ODD, (None, "a b c d e f"), (9, "a b c d e f")])).collect()
     assert len(got) == len(ODD) + 2
