@@ -1,18 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney models of the letters of words.
 
 Each letter is predicted from the letters before it in its word (at most ``order - 1`` bytes, the
-word's start included).  The toxic and the ordinary model have counts of their own and back off to
-one shared distribution, estimated from both classes together: a rare expression seen in neither
-class enough to tell them apart gets the same probability from both.  A document's score comes from
-the difference of the two log-likelihoods, normalised by its length in several ways.
-
-N-grams are counted in ``2**bits`` hashed buckets.  The counts come from every labelled row that may
-be learnt from; the buckets bound what is broadcast (28 MB) however large the corpus is.
+word's start included).  Either class has interpolated Kneser-Ney counts of its own at every order:
+occurrences for the longest n-grams and those that begin a word, distinct preceding letters for all
+shorter ones.  Each order backs off to the next shorter one, and single letters back off to the
+distribution of both classes together.  A document's score comes from the difference of the two
+log-likelihoods, normalised by its length in several ways.
+
+N-grams are counted exactly, in Spark; the tables that go to the executors hold every n-gram of the
+labelled learning rows (24 to 32 bytes each), so they grow with the distinct n-grams.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import array_slices, fit_logistic, labelled, per_text, pieces, spare_name
+from quillfold.llm.common import array_slices, fit_logistic, labelled, materialise, mix64, per_text, pieces, spare_name
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -29,18 +31,20 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class ToxicityConfig:
     order: int = 6  # bytes of an n-gram, 8 at most
-    bits: int = 20  # n-grams are counted in 2**bits buckets
+    bits: int = 20  # buckets of a model without keys; a fitted one has a row for each n-gram
     discount: float = 0.75
     calibration_share: int = 4  # one in so many learning rows fits the calibration instead of the counts
     calibration_rows: int = 20_000  # bound of the sample that the calibration is fitted on
     folds: int = 5
 
 
-def _grams(texts: list[str | None], cfg: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of every n-gram and its context, ends of words among them, and words per text."""
-    words = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    joined = (" " + " ".join(w for ws in words for w in ws) + " ").encode("utf-8", "replace") if counts.sum() else b" "
+def _words(text: str | None) -> list[str]:
+    return _LETTERS.findall(text.lower()) if text else []
+
+
+def _positions(words: list[str], cfg: ToxicityConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed context, its length, and the byte that follows, ends of words among them; where words end."""
+    joined = (" " + " ".join(words) + " ").encode("utf-8", "replace")
     b = np.frombuffer(joined, np.uint8).astype(np.uint64)
     n = len(b)
     place = np.arange(n)
@@ -50,12 +54,14 @@ def _grams(texts: list[str | None], cfg: ToxicityConfig) -> tuple[np.ndarray, np
     context = np.zeros(n, np.uint64)  # the bytes before, packed; only those of the word count
     for k in range(1, min(cfg.order, n)):
         context[k:] |= b[: n - k] << np.uint64(8 * (k - 1))
-    kept = np.array([(1 << (8 * k)) - 1 for k in range(cfg.order)], np.uint64)
-    context &= kept[np.minimum(reach, cfg.order - 1)]
-    down = np.uint64(64 - cfg.bits)
-    g = (((context << np.uint64(8)) | b) * np.uint64(0x9E3779B97F4A7C15)) >> down
-    h = ((context + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> down
-    return g.view(np.int64)[1:], h.view(np.int64)[1:], np.flatnonzero(blank[1:]), counts
+    length = np.minimum(reach, cfg.order - 1)
+    context &= _kept(cfg)[length]
+    return context[1:], length[1:], b[1:], np.flatnonzero(blank[1:])
+
+
+def _kept(cfg: ToxicityConfig) -> np.ndarray:
+    """Masks of the last 0, 1, ... bytes of a context."""
+    return np.array([(1 << (8 * k)) - 1 for k in range(cfg.order)], np.uint64)
 
 
 def _runs(parts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
@@ -72,60 +78,128 @@ def _runs(parts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
 
 
 def _count_ngrams(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
-    """``g, h, c0, c1``: counts of each n-gram (with its context) in either class."""
+    """``n, g, c0, c1``: occurrences in either class of the longest n-gram at each letter; ``n`` is its length."""
+
+    def grams(tally: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        for c in (0, 1):
+            for part in _runs(list(tally[c])):
+                context, length, b, ends = _positions(part, cfg)
+                times = np.fromiter(map(tally[c].__getitem__, part), np.int64, len(part))
+                times = np.repeat(times, np.diff(np.r_[-1, ends]))
+                g, first, at = np.unique((context << np.uint64(8)) | b, return_index=True, return_inverse=True)
+                count = np.zeros(len(g), np.int64)
+                np.add.at(count, at, times)
+                n, none = length[first].astype(np.int32) + 1, np.zeros(len(g), np.int64)
+                for s in range(0, len(g), 100_000):
+                    cut = slice(s, s + 100_000)
+                    two = (count, none) if c == 0 else (none, count)
+                    yield pa.RecordBatch.from_arrays([pa.array(n[cut]), pa.array(g.view(np.int64)[cut]), *(pa.array(v[cut]) for v in two)], ["n", "g", "c0", "c1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tally = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+        tally = Counter(), Counter()
         for batch in batches:
             label = np.asarray(batch.column(1))
             for first, texts in array_slices(batch.column(0), 1 << 19):
-                marked = [(p, y > 0) for t, y in zip(texts, label[first : first + len(texts)], strict=True) for p in pieces(t or "")]
-                for c, part in [(c, g) for c in (0, 1) for g in _runs([p for p, y in marked if y == c])]:
-                    g, h, _, _ = _grams(part, cfg)
-                    k, m = np.unique((g << cfg.bits) | h, return_counts=True)
-                    add = np.zeros((len(k), 2), np.int64)
-                    add[:, c] = m
-                    key, at = np.unique(np.r_[key, k], return_inverse=True)
-                    both = np.zeros((len(key), 2), np.int64)
-                    np.add.at(both, at, np.r_[tally, add])
-                    tally = both
-        for s in range(0, len(key), 100_000):
-            k, t = key[s : s + 100_000], tally[s : s + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k >> cfg.bits), pa.array(k & ((1 << cfg.bits) - 1)), pa.array(t[:, 0].copy()), pa.array(t[:, 1].copy())], ["g", "h", "c0", "c1"]
-            )
-
-    parts = rows.select("text", "label").mapInArrow(run, "g long, h long, c0 long, c1 long")
-    return parts.groupBy("g", "h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+                for t, y in zip(texts, label[first : first + len(texts)], strict=True):
+                    for p in pieces(t or ""):
+                        tally[int(y > 0)].update(_words(p))
+                if len(tally[0]) + len(tally[1]) > 500_000:
+                    yield from grams(tally)
+                    tally = Counter(), Counter()
+        yield from grams(tally)
+
+    parts = rows.select("text", "label").mapInArrow(run, "n int, g long, c0 long, c1 long")
+    return parts.groupBy("n", "g").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def _all_orders(raw: DataFrame, cfg: ToxicityConfig) -> DataFrame:
+    """``raw`` and the continuation counts of all shorter n-grams: distinct preceding letters in either class."""
+    every = raw
+    level = raw.where(F.col("n") == cfg.order)
+    for m in range(cfg.order - 1, 0, -1):
+        tail = F.col("g").bitwiseAND(F.lit((1 << (8 * m)) - 1))
+        level = level.groupBy(F.lit(m).alias("n"), tail.alias("g")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("c0", "c1")))
+        level = materialise(level)
+        every = every.unionByName(level)
+        level = level.unionByName(raw.where(F.col("n") == m))  # those begin a word, so nothing shorter made them
+    return every
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """Open-addressing table of the rows of distinct ``keys``, at most half full; -1 is free."""
+    bits = max(4, (2 * len(keys) - 1).bit_length() if len(keys) else 0)
+    slots = np.full(1 << bits, -1, np.int32)
+    at, row = _bucket(keys, bits), np.arange(len(keys))
+    while len(row):
+        free = np.flatnonzero(slots[at] < 0)
+        slots[at[free]] = row[free]
+        left = slots[at] != row
+        at, row = (at[left] + 1) & (len(slots) - 1), row[left]
+    return slots
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(keys) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _rows_of(keys: np.ndarray, known: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Rows of ``keys`` in ``known``, whose last entry stands for all that are missing."""
+    at = _bucket(keys, len(slots).bit_length() - 1)
+    out = slots[at].astype(np.int64)
+    todo = np.flatnonzero((out >= 0) & (known[out] != keys))
+    while len(todo):
+        at[todo] = (at[todo] + 1) & (len(slots) - 1)
+        out[todo] = slots[at[todo]]
+        todo = todo[(out[todo] >= 0) & (known[out[todo]] != keys[todo])]
+    return np.where(out < 0, len(known) - 1, out)
 
 
 @dataclass
 class KneserNey:
-    """Dense count tables of hashed n-grams and contexts."""
+    """Counts of n-grams and contexts of all orders: a row for each key, or ``2**bits`` hashed buckets without keys."""
 
     cfg: ToxicityConfig
-    gram: np.ndarray  # [buckets, 2]: ordinary, toxic
-    context: np.ndarray  # [buckets, 5]: totals of both, then distinct followers: ordinary, toxic, either
+    gram: np.ndarray  # [rows, 2]: ordinary, toxic
+    context: np.ndarray  # [rows, 5]: totals of both, then distinct followers: ordinary, toxic, either
     calibration: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     prior: float = 0.0
+    keys: tuple[np.ndarray, np.ndarray] | None = None  # packed n-grams, packed contexts; each with an entry for the missing ones
+    slots: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _found(self, table: int, keys: np.ndarray) -> np.ndarray:
+        values = (self.gram, self.context)[table]
+        return values[_bucket(keys, self.cfg.bits) if self.keys is None else _rows_of(keys, self.keys[table], self.slots[table])].T
 
     def _smoothed(self, c: np.ndarray, total: np.ndarray, kinds: np.ndarray, backoff: np.ndarray | float) -> np.ndarray:
         d = np.float32(self.cfg.discount)
         p = (np.maximum(c - d, 0) + d * np.maximum(kinds, 1) * backoff) / np.maximum(total, 1)
         return np.where(total > 0, p, backoff)
 
+    def _ratios(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood ratio (toxic over ordinary) of every word, from single letters to the longest context."""
+        context, length, b, ends = _positions(words, self.cfg)
+        p = np.zeros((2, len(b)), np.float32)
+        for m, kept in enumerate(_kept(self.cfg)):
+            at = np.flatnonzero(length >= m)
+            h = context[at] & kept
+            c0, c1 = self._found(0, (h << np.uint64(8)) | b[at])
+            t0, t1, k0, k1, k = self._found(1, h)
+            shorter = p[:, at] if m else np.tile(self._smoothed(c0 + c1, t0 + t1, k, np.float32(1 / 256)), (2, 1))
+            p[0, at], p[1, at] = self._smoothed(c0, t0, k0, shorter[0]), self._smoothed(c1, t1, k1, shorter[1])
+        return np.diff(np.r_[0.0, np.cumsum(np.log(p[1] / p[0]), dtype=np.float64)[ends]])
+
     def word_ratios(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood ratio (toxic over ordinary) of every word, and words per text."""
         if len(texts) == 1 and texts[0] and len(texts[0]) > 1 << 20:  # a very long text is a slice of its own
             parts = [self.word_ratios([p]) for p in pieces(texts[0])]
             return np.concatenate([r for r, _ in parts]), sum(n for _, n in parts)
-        g, h, ends, counts = _grams(texts, self.cfg)
+        words = [_words(t) for t in texts]
+        counts = np.array([len(w) for w in words], np.int64)
         if not counts.sum():
             return np.empty(0), counts
-        (c0, c1), (t0, t1, k0, k1, k) = self.gram[g].T, self.context[h].T
-        shared = self._smoothed(c0 + c1, t0 + t1, k, np.float32(1 / 64))
-        ratio = np.log(self._smoothed(c1, t1, k1, shared) / self._smoothed(c0, t0, k0, shared))
-        return np.diff(np.r_[0.0, np.cumsum(ratio, dtype=np.float64)[ends]]), counts
+        index: dict[str, int] = {}
+        at = np.fromiter((index.setdefault(w, len(index)) for ws in words for w in ws), np.int64, counts.sum())
+        return self._ratios(list(index))[at], counts
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Length-normalised log-likelihood ratios of every text; zeros for texts without words."""
@@ -152,7 +226,7 @@ class KneserNey:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig(), label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> KneserNey:
-    """Count the n-grams of all labelled learning rows and calibrate on a bounded share of them.
+    """Calibrate on a bounded share of the labelled learning rows and count the n-grams of all others.
 
     Without a row of either class the score is the share of toxic labels (0 without labels).
     """
@@ -161,19 +235,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
 
 
 def _fitted(learn: DataFrame, cfg: ToxicityConfig) -> KneserNey:
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(cfg.calibration_share))
-    table = _count_ngrams(learn.where(part != 0), cfg).persist()
-    size = 1 << cfg.bits
-    gram, context = np.zeros((size, 2), np.float32), np.zeros((size, 5), np.float32)
-    for b in table.groupBy("g").agg(F.sum("c0"), F.sum("c1")).toArrow().to_batches():
-        g, c0, c1 = (np.asarray(c) for c in b.columns)
-        gram[g, 0], gram[g, 1] = c0, c1
-    seen = [F.count_if(F.col(c) > 0) for c in ("c0", "c1")]
-    for b in table.groupBy("h").agg(F.sum("c0"), F.sum("c1"), *seen, F.count(F.lit(1))).toArrow().to_batches():
-        h, *found = (np.asarray(c) for c in b.columns)
-        context[h] = np.stack(found, axis=1)
-    table.unpersist()
-    model = KneserNey(cfg, gram, context)
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    held = F.pmod(h, F.lit(cfg.calibration_share)) == 0
+    most = learn.where(held).select(h.alias("h")).orderBy("h").limit(cfg.calibration_rows + 1).agg(F.max("h").alias("h"), F.count("h").alias("n")).first()
+    if most.n > cfg.calibration_rows:  # what the sample cannot take is counted
+        held = held & (h < most.h)
+    raw = materialise(_count_ngrams(learn.where(~held), cfg))
+    every = _all_orders(raw, cfg)
+    gram = every.select("g", F.col("c0").cast("float"), F.col("c1").cast("float")).toArrow()
+    seen = [F.count_if(F.col(c) > 0).alias(f"k{c}") for c in ("c0", "c1")]
+    held_by = every.groupBy(F.shiftrightunsigned("g", 8).alias("h")).agg(F.sum("c0").alias("t0"), F.sum("c1").alias("t1"), *seen, F.count(F.lit(1)).alias("k")).toArrow()
+    tables = []
+    for t in (gram, held_by):
+        keys = np.asarray(t.column(0)).view(np.uint64)
+        values = np.zeros((len(keys) + 1, t.num_columns - 1), np.float32)
+        for j in range(1, t.num_columns):
+            values[:-1, j - 1] = np.asarray(t.column(j))
+        tables.append((values, np.r_[keys, np.uint64(0)], _slots(keys)))
+    (grams, *_), (contexts, *_) = tables
+    model = KneserNey(cfg, grams, contexts, keys=tuple(t[1] for t in tables), slots=tuple(t[2] for t in tables))
 
     shared = learn.sparkSession.sparkContext.broadcast(model)
 
@@ -185,8 +265,8 @@ def _fitted(learn: DataFrame, cfg: ToxicityConfig) -> KneserNey:
                     [pa.array(list(x), pa.list_(pa.float64())), batch.column(1).slice(first, len(texts)), batch.column(2).slice(first, len(texts))], ["x", "label", "at"]
                 )
 
-    sample = learn.where(part == 0).select("text", "label", F.xxhash64("doc_id", "text").alias("at"))
-    rows = sample.mapInArrow(run, "x array<double>, label int, at long").orderBy("at").limit(cfg.calibration_rows).collect()
+    sample = learn.where(held).select("text", "label", F.xxhash64("doc_id", "text").alias("at"))
+    rows = sorted(sample.mapInArrow(run, "x array<double>, label int, at long").collect(), key=lambda r: r.at)
     y = np.array([min(r.label, 1) for r in rows], float)
     model.prior = float(y.mean()) if len(y) else 0.0
     if len(y) and 0 < y.sum() < len(y):

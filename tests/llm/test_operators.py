@@ -220,6 +220,31 @@ def test_toxicity_on_planted_words(spark):
     assert {r.toxicity for r in toxicity.score_toxicity(docs.limit(5), none).collect()} == {0.0}
 
 
+def test_toxicity_counts_every_row_and_order(spark):
+    cfg = toxicity.ToxicityConfig(calibration_rows=10)
+    rows = [(i, f"a{chr(98 + i % 20)}{chr(98 + i // 20)} zwikken" if i % 2 else f"plain b{chr(97 + i % 26)}") for i in range(400)]
+    table = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(frame(spark, rows), table, cfg)
+    learn = [r.doc_id for r in frame(spark, rows).where(common.crc_fold("doc_id", cfg.folds) != 0).collect()]
+    held = spark.createDataFrame([(i,) for i in learn], "doc_id long").selectExpr("doc_id", "xxhash64(cast(doc_id as string)) h").where("pmod(h, 4) = 0").orderBy("h").limit(10)
+    counted = [t for i, t in rows if i in {*learn} - {r.doc_id for r in held.collect()}]  # no row is in neither part
+    want: list[dict] = [Counter() for _ in (0, 1)]  # brute force, from the text up
+    for t in counted:
+        for w in t.split():
+            w = f" {w} "
+            for j in range(1, len(w)):
+                want["zwikken" in t][w[max(0, j - 5) : j + 1]] += 1
+    for c in want:
+        for m in range(5, 0, -1):
+            c.update(Counter(g[1:] for g in list(c) if len(g) == m + 1))
+    pack = lambda g: int.from_bytes(g.encode())
+    assert {int(k): tuple(v) for k, v in zip(model.keys[0][:-1], model.gram[:-1].astype(int), strict=True)} == {pack(g): (want[0][g], want[1][g]) for g in want[0] | want[1]}
+    looked = toxicity._rows_of(np.array([pack("wikken"), pack("wikkem")], np.uint64), model.keys[0], model.slots[0])
+    assert model.gram[looked[0]][1] == want[1]["wikken"] > 0 and looked[1] == len(model.gram) - 1
+    altered, counts = model.word_ratios(["qqqqqqqikk qqqqqqqain"])  # the longest contexts are in no text
+    assert counts.sum() == 2 and altered[0] > 0 > altered[1]
+
+
 def test_quality_scores_on_held_out_rows(spark, tables):
     docs, labels = tables["documents"], tables["labels"]
     model = quality_model.fit_quality(docs, labels)
