@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import array_slices, labelled, per_text, spare_name, structs
+from quillfold.llm.common import array_slices, labelled, per_text, small_side, spare_name, structs
 
 _BLANK, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -43,7 +43,6 @@ class RuleConfig:
     alpha: float = 0.02  # bound on the good documents that the rules reject, in each stratum
     delta: float = 0.05  # probability that the bound fails in any stratum
     cost: float = 10.0  # of a share of good documents, in shares of bad ones, among certified cutoffs
-    max_strata: int = 64  # the strata with most labels; the others share one
     min_words: int = 50
     max_repeat_percent: int = 50
 
@@ -126,12 +125,36 @@ def certified_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, level: flo
     return cutoff
 
 
+class Cutoffs(dict):
+    """Cutoffs of the rules by stratum; infinite for a stratum that is not in it."""
+
+    def __missing__(self, stratum: str) -> list[float]:
+        return [math.inf] * len(RULES)
+
+
+def _certified(hist: DataFrame, level: float, cfg: RuleConfig) -> DataFrame:
+    """``stratum, cutoffs`` from ``stratum, cells``, a list of ``rule, step, label, n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for cells in batch.column(1).to_pylist():
+                h = np.zeros((len(RULES), 2, len(GRID) + 1), np.int64)
+                for c in cells:
+                    h[c["rule"], max(0, c["label"]), c["step"]] += c["n"]
+                found.append([certified_cutoff(x[1], x[0], cfg.alpha / len(RULES), level, cfg.cost) for x in h])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["stratum", "cutoffs"])
+
+    return hist.select("stratum", "cells").mapInArrow(run, "stratum string, cutoffs array<double>")
+
+
 def learn_cutoffs(
     docs: DataFrame, labels: DataFrame, cfg: RuleConfig = RuleConfig(), *, label_col: str = "quality", stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text"
-) -> dict[str, list[float]]:
+) -> Cutoffs:
     """Cutoffs of the rules by stratum from all labelled documents that pass the base rules.
 
-    Only the histogram (strata x rules x cutoffs) reaches the driver; ``""`` is the shared stratum.
+    Every labelled stratum is certified by itself, in Spark; ``""`` is that of rows without one.  The
+    driver gets the strata in which a rule may reject: each of them has hundreds of good labels.
     """
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
 
@@ -155,36 +178,36 @@ def learn_cutoffs(
     with labelled(docs, labels, label_col, None, id_col, text_col, stratum=stratum) as rows:
         counts = rows.select("text", "label", "stratum").mapInArrow(run, "stratum string, rule int, step int, label int")
         counts = counts.groupBy("stratum", "rule", "step", "label").agg(F.count(F.lit(1)).alias("n")).persist()
-        own = counts.groupBy("stratum").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "stratum").limit(cfg.max_strata)
-        names = sorted(r.stratum for r in own.collect() if r.stratum)
-        pooled = F.when(F.col("stratum").isin(names), F.col("stratum")).otherwise(F.lit("")) if names else F.lit("")
-        hist = {s: np.zeros((len(RULES), 2, len(GRID) + 1), np.int64) for s in [*names, ""]}
-        for r in counts.groupBy(pooled.alias("s"), "rule", "step", "label").agg(F.sum("n").alias("n")).collect():
-            hist[r.s][r.rule, max(0, r.label), r.step] += r.n
+        cells = F.collect_list(F.struct("rule", "step", "label", "n")).alias("cells")
+        n_strata = counts.select("stratum").union(docs.sparkSession.range(1).select(F.lit(""))).distinct().count()
+        level = cfg.delta / (len(RULES) * n_strata)
+        some = _certified(counts.groupBy("stratum").agg(cells), level, cfg).where(F.exists("cutoffs", lambda c: c < math.inf))
+        found = Cutoffs({"": [math.inf] * len(RULES)} | {r.stratum: list(r.cutoffs) for r in some.collect()})
         counts.unpersist()
-    level = cfg.delta / (len(RULES) * len(hist))
-    return {s: [certified_cutoff(h[1], h[0], cfg.alpha / len(RULES), level, cfg.cost) for h in x] for s, x in hist.items()}
+    return found
 
 
 def apply_rules(docs: DataFrame, cutoffs: dict[str, list[float]], cfg: RuleConfig = RuleConfig(), *, stratum_col: str = "lang", text_col: str = "text", out_col: str = "rules") -> DataFrame:
     """``docs`` with a struct ``out_col``: the statistics, ``base_failed`` and ``kept``.
 
-    Defined cases: a null or empty text has zero counts and fails the base rules; an unknown or null
-    stratum uses the cutoffs of the shared one; texts at a cutoff pass; repeated rows are judged
-    alike; an existing column ``out_col`` is replaced; very long texts are measured whole.
+    Defined cases: a null or empty text has zero counts and fails the base rules; a null stratum is
+    one like others; a stratum without cutoffs keeps all that the base rules keep; texts at a cutoff
+    pass; repeated rows are judged alike; an existing column ``out_col`` is replaced; very long texts are measured whole.
     """
     stats_name = spare_name([*docs.columns, out_col], "stats")
     seen = text_statistics(docs, text_col, stats_name)
     stats = F.col(stats_name)
-    table = F.create_map(*(x for s, c in cutoffs.items() for x in (F.lit(s), F.array(*(F.lit(float(v)) for v in c)))))
+    key, limits_name = (spare_name([*seen.columns, out_col], n) for n in ("stratum", "limits"))
+    table = docs.sparkSession.createDataFrame([(s, [float(v) for v in c]) for s, c in cutoffs.items()], f"{key} string, {limits_name} array<double>")
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")) if stratum_col in docs.columns else F.lit("")
-    limits = F.coalesce(F.element_at(table, stratum), F.element_at(table, F.lit("")))
+    seen = seen.withColumn(key, stratum).join(small_side(table), key, "left")
+    limits = F.coalesce(F.col(limits_name), F.lit(Cutoffs()[""]))
     failed = base_failed(stats, cfg)
     kept = ~failed
     for r, (a, b) in enumerate(RULES.values()):
         kept = kept & (stats[a] / F.greatest(stats[b], F.lit(1)) <= F.get(limits, F.lit(r)))
     verdict = F.struct(*(stats[n].alias(n) for n in _KINDS), failed.alias("base_failed"), kept.alias("kept"))
-    return seen.withColumn(out_col, verdict).drop(stats_name)
+    return seen.withColumn(out_col, verdict).drop(stats_name, key, limits_name)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:

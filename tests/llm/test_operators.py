@@ -109,6 +109,23 @@ def test_cutoffs_keep_their_promise(spark):
     assert not any(got[i] for i in range(0, 1500, 10) if i % 3) and all(got[i] for i in range(1500) if i % 10)
 
 
+def test_every_stratum_is_certified_by_itself(spark):
+    clean, marked = "one two three four five six seven", "one# two# three# four# five# six# seven#"
+    rows = [(100 * s + i, f"{marked if i % 10 == 0 else clean} {i}", f"l{s}") for s in range(69) for i in range(100)]
+    labels = [(d, int(d % 10 > 0)) for d, _, _ in rows]
+    small = [(20_000 + i, f"{marked} {i}", "small") for i in range(20)]  # good documents that other strata would reject
+    other = [(30_000 + i, f"{marked} {i}", lang) for i, lang in enumerate(["none", None, ""])]
+    table = spark.createDataFrame(labels + [(d, 1) for d, _, _ in small], "doc_id long, quality int")
+    docs = frame(spark, rows + small + other)
+    cfg = quality_rules.RuleConfig(alpha=0.4, min_words=5)
+    cut = quality_rules.learn_cutoffs(docs, table, cfg)
+    assert all(cut[f"l{s}"][0] < 1 for s in range(69)) and cut["small"] == cut["none"] == cut[""] == [np.inf] * 4
+    judged = quality_rules.apply_rules(docs, cut, cfg)
+    assert judged.columns == [*docs.columns, "rules"]
+    got = {r.doc_id: r.kept for r in judged.select("doc_id", "rules.kept").collect()}
+    assert len(got) == len(rows) + 23 and all(got[d] for d, _, _ in small + other) and all(got[d] == bool(y) for d, y in labels)
+
+
 # op4 -------------------------------------------------------------------------------------------
 
 
