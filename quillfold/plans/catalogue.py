@@ -282,7 +282,8 @@ def variant_order(events):
     k = F.col("event_id") % 4
     doc = F.when(k == 0, F.lit("null")).when(k == 1, F.col("value").cast("string")).when(k == 2, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.lit("true"))
     mixed = events.withColumn("v", F.parse_json(doc))
-    return mixed.orderBy(s.value_order(F.col("v")), "event_id").select("event_id", F.to_json("v").alias("v")).limit(50)
+    keyed = mixed.withColumn("k", s.value_order(F.col("v"))).orderBy("k", "event_id")
+    return keyed.select("event_id", F.to_json("v").alias("v"), "k.rank", "k.number", "k.text")
 
 
 # projection, order, pages ----------------------------------------------------------------------

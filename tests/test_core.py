@@ -268,6 +268,16 @@ def test_query_equals_sql(spark, duck, name):
     assert text(got) == text(want)
 
 
+def test_variant_order_returns_every_row_in_order(spark):
+    import json
+
+    events = spark.createDataFrame([(i, (i * 37 % 11) - 4.5, f"t{i * 7 % 5}") for i in range(300)], "event_id long, value double, event_type string")
+    got = [(r.event_id, json.loads(r.v), r.rank) for r in catalogue.variant_order(events.repartition(4)).collect()]
+    mixed = [(i, [None, (i * 37 % 11) - 4.5, f"t{i * 7 % 5}", True][i % 4]) for i in range(300)]
+    rank = lambda v: 1 if v is None else 2 if isinstance(v, bool) else 3 if isinstance(v, float) else 7
+    assert got == [(i, v, rank(v)) for i, v in sorted(mixed, key=lambda x: (rank(x[1]), x[1] if rank(x[1]) > 2 else 0, x[0]))]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
