@@ -30,7 +30,6 @@ class LanguageConfig:
     tf_power: float = 1.0  # term weights are counts to this power times inverse document frequencies
     centroids: int = 4  # per language
     sample: int = 400  # training texts per language for the centroids (the bound of the sample)
-    sample_chars: int = 200_000  # of each of them; document frequencies and predictions use whole texts
     rejection: float = 0.002  # share of a language's sample that is further away than the limit
     folds: int = 4
     held_out: int = 2
@@ -141,19 +140,27 @@ def fit_languages(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), *, id
     near = near.where(F.pmod("h", F.lit(1 << 31)) * F.col("n") < 2.0 * cfg.sample * (1 << 31))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     picks = near.withColumn("k", order).where(F.col("k") <= cfg.sample)
-    sample = learn.join(small_side(picks.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", F.substring("text", 1, cfg.sample_chars).alias("text"))
+    sample = learn.join(small_side(picks.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
     shared = spark.sparkContext.broadcast(idf)
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of whole texts: what goes to the task of a language has a fixed size."""
+        for batch in batches:
+            for first, texts in array_slices(batch.column(1)):
+                seen = [(i, t) for i, t in enumerate(texts, first) if _has_letter(t)]
+                for part in _chunks(seen):
+                    counts = ngram_counts([t for _, t in part], cfg)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in part])), pa.array(list(counts), pa.list_(pa.float32()))], ["lang", "counts"])
+
     def centroids(t: pa.Table) -> pa.Table:
-        texts = [x for x in t["text"].to_pylist() if _has_letter(x)]
-        if not texts:
-            return pa.table({"lang": pa.array([], pa.string()), "limit": pa.array([], pa.float64()), "v": pa.array([], pa.list_(pa.float32()))})
-        x = _unit(np.concatenate([ngram_counts(p, cfg) ** cfg.tf_power for p in _chunks(sorted(texts))]) * shared.value)
+        counts = np.array(sorted(t["counts"].to_pylist()), np.float32)  # in an order of their own
+        x = _unit(counts ** cfg.tf_power * shared.value)
         c = spherical_kmeans(x, cfg.centroids)
         limit = float(np.quantile((x @ c.T).max(axis=1), cfg.rejection))
         n = len(c)
         return pa.table({"lang": pa.array([t["lang"][0].as_py()] * n), "limit": pa.array([limit] * n), "v": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32()))})
 
+    sample = sample.mapInArrow(vectors, "lang string, counts array<float>")
     found = sample.groupBy("lang").applyInArrow(centroids, "lang string, limit double, v array<float>").orderBy("lang").collect()
     shared.unpersist()
     names = sorted({r["lang"] for r in found})

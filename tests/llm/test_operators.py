@@ -214,6 +214,17 @@ def test_language_id(spark, tables):
     assert {r.language.lang for r in language_id.identify_languages(docs.limit(3), empty).collect()} == {"und"}
 
 
+def test_languages_learn_from_whole_texts(spark):
+    head, tail = "abab baba " * 25_000, "xyxy yxyx " * 50_000  # the language shows after 250,000 characters
+    rows = [(i, head + (tail if i % 2 else "klkl lklk " * 50_000), "xx" if i % 2 else "kk") for i in range(12)]
+    docs = frame(spark, rows)
+    model = language_id.fit_languages(docs)
+    assert model.predict(["xyxy yxyx xyxy", "klkl lklk klkl"])[0] == ["xx", "kk"]
+    n = language_id.ngram_counts([rows[1][1]], model.cfg)
+    centre = model.vectors[model.owner == model.languages.index("xx")]
+    assert np.allclose(centre @ language_id._unit(n * model.idf).T, 1, atol=1e-4)
+
+
 # op7, op10 -------------------------------------------------------------------------------------
 
 
