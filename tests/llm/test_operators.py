@@ -228,8 +228,7 @@ def test_languages_learn_from_whole_texts(spark):
 # op7, op10 -------------------------------------------------------------------------------------
 
 
-def test_toxicity_on_planted_words(spark):
-    rng = np.random.default_rng(5)
+def planted(rng):
     words = lambda n: [f"{''.join(rng.choice(list('aeioulnrst'), 6))}" for _ in range(n)]
     rows, labels = [], []
     for i in range(500):
@@ -238,39 +237,89 @@ def test_toxicity_on_planted_words(spark):
             w.insert(int(rng.integers(80)), "zwikkenoff" if i % 2 else "bbrat")
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
+    return rows, labels
+
+
+def test_toxicity_on_planted_words(spark):
+    rows, labels = planted(np.random.default_rng(5))
     table = spark.createDataFrame([*labels, (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     docs = frame(spark, [*rows, *[(1000 + k, t) for k, (_, t) in enumerate(ODD)]])
-    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table)).collect()}
-    assert all(0 <= v <= 1 for v in got.values()) and len({got[1000], got[1001], got[1002]}) == 1
-    right = [(got[i] >= 0.5) == bool(y) for i, y in labels]
-    assert np.mean(right) > 0.95
+    model = toxicity.fit_toxicity(docs, table)
+    scored = toxicity.score_toxicity(docs, model).withColumn("held", common.crc_fold("doc_id", 5) == 0).collect()
+    got = {r.doc_id: r.toxicity for r in scored}
+    assert all(0 <= v <= 1 for v in got.values()) and {got[1000], got[1001], got[1002]} == {model.prior}
+    truth = dict(labels)
+    right = [(r.toxicity >= 0.5) == bool(truth[r.doc_id]) for r in scored if r.held and r.doc_id in truth]
+    assert len(right) > 60 and np.mean(right) > 0.95
+    model.small = False  # the way for tables that are not broadcast
+    joined = {(r.doc_id, r.text): r.toxicity for r in toxicity.score_toxicity(docs, model).collect()}
+    assert joined == pytest.approx({(r.doc_id, r.text): r.toxicity for r in scored}, abs=1e-9)
+    assert toxicity.score_toxicity(docs, model).columns == [*docs.columns, "toxicity"]
     none = toxicity.fit_toxicity(docs.limit(0), table)
     assert {r.toxicity for r in toxicity.score_toxicity(docs.limit(5), none).collect()} == {0.0}
+    assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
-def test_toxicity_counts_every_row_and_order(spark):
-    cfg = toxicity.ToxicityConfig(calibration_rows=10)
-    rows = [(i, f"a{chr(98 + i % 20)}{chr(98 + i // 20)} zwikken" if i % 2 else f"plain b{chr(97 + i % 26)}") for i in range(400)]
-    table = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
-    model = toxicity.fit_toxicity(frame(spark, rows), table, cfg)
-    learn = [r.doc_id for r in frame(spark, rows).where(common.crc_fold("doc_id", cfg.folds) != 0).collect()]
-    held = spark.createDataFrame([(i,) for i in learn], "doc_id long").selectExpr("doc_id", "xxhash64(cast(doc_id as string)) h").where("pmod(h, 4) = 0").orderBy("h").limit(10)
-    counted = [t for i, t in rows if i in {*learn} - {r.doc_id for r in held.collect()}]  # no row is in neither part
-    want: list[dict] = [Counter() for _ in (0, 1)]  # brute force, from the text up
-    for t in counted:
-        for w in t.split():
-            w = f" {w} "
+def brute_kneser_ney(texts, labels, cfg):
+    """Log-likelihood ratio of a word, written from the formulas over dictionaries."""
+    top = [Counter(), Counter()]
+    for t, y in zip(texts, labels, strict=True):
+        for w in toxicity._LETTERS.findall(t.lower()):
+            w = b" " + w.encode() + b" "
             for j in range(1, len(w)):
-                want["zwikken" in t][w[max(0, j - 5) : j + 1]] += 1
-    for c in want:
-        for m in range(5, 0, -1):
-            c.update(Counter(g[1:] for g in list(c) if len(g) == m + 1))
-    pack = lambda g: int.from_bytes(g.encode())
-    assert {int(k): tuple(v) for k, v in zip(model.keys[0][:-1], model.gram[:-1].astype(int), strict=True)} == {pack(g): (want[0][g], want[1][g]) for g in want[0] | want[1]}
-    looked = toxicity._rows_of(np.array([pack("wikken"), pack("wikkem")], np.uint64), model.keys[0], model.slots[0])
-    assert model.gram[looked[0]][1] == want[1]["wikken"] > 0 and looked[1] == len(model.gram) - 1
-    altered, counts = model.word_ratios(["qqqqqqqikk qqqqqqqain"])  # the longest contexts are in no text
-    assert counts.sum() == 2 and altered[0] > 0 > altered[1]
+                top[y][w[max(0, j - cfg.order + 1) : j + 1]] += 1
+    before: dict = {}  # n-gram -> distinct bytes before it
+    todo = set(top[0] | top[1])
+    for m in range(cfg.order, 1, -1):
+        for g in [g for g in todo if len(g) == m]:
+            before.setdefault(g[1:], set()).add(g[:1])
+            todo.add(g[1:])
+    after: dict = {}
+    for g in before:
+        after.setdefault(g[:-1], {})[g[-1:]] = len(before[g])
+
+    def discounted(followers, x, lower):
+        rest = cfg.discount * len(followers) * lower
+        return (max(followers.get(x, 0) - cfg.discount, 0) + rest) / sum(followers.values())
+
+    def continuation(h, x):
+        lower = continuation(h[1:], x) if h else 1 / 256
+        return discounted(after[h], x, lower) if h in after else lower
+
+    def ratio(word):
+        w, out = b" " + word.encode() + b" ", 0.0
+        for j in range(1, len(w)):
+            h, x = w[max(0, j - cfg.order + 1) : j], w[j : j + 1]
+            own = [{g[-1:]: n for g, n in c.items() if g[:-1] == h} for c in top]
+            both = {k: own[0].get(k, 0) + own[1].get(k, 0) for k in own[0] | own[1]}
+            shared = discounted(both, x, continuation(h[1:], x)) if both else continuation(h[1:], x)
+            p = []
+            for c in own:
+                kept = {k: max(n - cfg.class_discount, 0) for k, n in c.items()}
+                total = sum(c.values())
+                p.append((kept.get(x, 0) + (total - sum(kept.values()) + cfg.strength) * shared) / (total + cfg.strength))
+            out += np.log(p[1] / p[0])
+        return out
+
+    return ratio
+
+
+def test_toxicity_equals_brute_force_kneser_ney(spark):
+    cfg = toxicity.ToxicityConfig(class_discount=1.5, strength=3.0, calibration_rows=10)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["ab", "abba", "bräuten", "cd"][k] + "xyz"[rng.integers(3)] * int(rng.integers(3)) for k in rng.integers(0, 4, 6)) + (" zwikken bbrat" if i % 2 else "")) for i in range(60)]
+    table = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    model = toxicity.fit_toxicity(docs, table, cfg)
+    learn = {r.doc_id for r in docs.where(common.crc_fold("doc_id", cfg.folds) != 0).collect()}
+    ratio = brute_kneser_ney([t for i, t in rows if i in learn], [i % 2 for i, _ in rows if i in learn], cfg)  # every labelled learning row
+    words = ["zwikken", "zwikkelig", "abba", "abbat", "bräuten", "q", "xyzzy", "cdx", "b"]
+    local = toxicity._Local(cfg, toxicity._Table.of(model.grams), toxicity._Table.of(model.unseen))
+    assert local.word_ratios(words) == pytest.approx([ratio(w) for w in words], abs=1e-6)
+    for t in [rows[1][1], "abba zwikken q", "zwikken " * 50]:
+        w = t.split()
+        want = sum(max(ratio(x) - cfg.margin, 0) for x in w) / np.sqrt(len(w))
+        assert local.evidence([t, ""])[0] == pytest.approx(want, abs=1e-6)
 
 
 def test_quality_scores_on_held_out_rows(spark, tables):
@@ -303,12 +352,11 @@ def test_very_long_texts_go_in_pieces():
     text = ("lorem ipsum " * 3 + "dolor\n") * 60_000
     assert "".join(common.pieces(text, 1000)) == text and max(map(len, common.pieces(text, 1000))) <= 1000
     assert list(common.pieces("x" * 25, 10)) == ["x" * 10, "x" * 10, "x" * 5]
-    cfg = toxicity.ToxicityConfig(bits=12)
-    rng = np.random.default_rng(0)
-    model = toxicity.KneserNey(cfg, *(rng.integers(0, 9, (1 << 12, n)).astype(np.float32) for n in (2, 5)))
-    ratio, counts = model.word_ratios([text])
-    whole, number = model.word_ratios([text[: 1 << 19]])
-    assert counts.sum() == len(text.split()) == len(ratio) and np.allclose(ratio[: len(whole) - 1], whole[:-1]) and number[0] == len(whole)
+    keys = np.unique(toxicity._positions(["lorem", "ipsum", "dolor"], toxicity.ToxicityConfig())[0] << np.uint64(8) | np.uint64(109))
+    table = toxicity._Table(keys, np.full(len(keys), 2.0), toxicity._slots(keys))
+    model = toxicity._Local(toxicity.ToxicityConfig(), table, toxicity._Table(keys, np.zeros(len(keys)), toxicity._slots(keys)))
+    total, number = model._sums([text])
+    assert number[0] == len(text.split()) and model.evidence([text])[0] == pytest.approx(total[0] / np.sqrt(number[0])) and total[0] > 0
     n = language_id.ngram_counts([text, "lorem"], language_id.LanguageConfig(sizes=(2, 3)))
     assert n.shape[0] == 2 and n[0].sum() > 2_000_000
 
