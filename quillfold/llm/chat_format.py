@@ -32,34 +32,46 @@ def format_chat(
 ) -> DataFrame:
     """Per conversation: ``conv_id``, ``segments`` (text, loss) and ``formatted``.
 
-    Turns are collected as structs and sorted; adjacent turns of one role are merged into one block
-    whose parts are divided by a separator, so the turns can be read back; the pieces of all blocks
-    are concatenated.  ``segments`` are these pieces with the loss mask: true for the texts of
-    ``loss_role``, false for marks and all other texts.  No text can contain a control string after
-    :func:`escape`.
+    Turns are collected as structs and sorted as they are; adjacent turns of one role are merged into
+    one block that keeps the list of their texts; texts are escaped and divided by a separator, so
+    the turns can be read back; the pieces of all blocks are concatenated.  ``segments`` are these
+    pieces with the loss mask: true for the texts of ``loss_role``, false for marks and all other
+    texts.  No text can contain a control string after :func:`escape`.
 
     Defined cases: a null text or role is empty; turns with equal numbers are ordered by role and
     text, null numbers first; repeated rows are turns of their own; a null conversation id is a
     conversation like any other; other columns are ignored whatever their names; an empty table
     gives an empty result.
     """
-    role = F.replace(escape(F.coalesce(F.col(role_col).cast("string"), F.lit(""))), F.lit("\n"), F.lit(NEWLINE))
-    text = escape(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    one = F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    one = F.struct(F.col(turn_col).alias("turn"), plain(role_col).alias("role"), plain(text_col).alias("text"))
     chats = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    blocks = chats.select("conv_id", merged_turns(F.col("t")).alias("b"))
 
-    def piece(x: Column, i: Column) -> Column:
-        opens = (i == 0) | (F.get("t", i - 1)["role"] != x["role"])
-        closes = (i == F.size("t") - 1) | (F.get("t", i + 1)["role"] != x["role"])
-        head = F.when(opens, F.concat(F.lit(START), x["role"], F.lit("\n"))).otherwise(F.lit(SEP))
-        tail = F.when(closes, F.lit(END)).otherwise(F.lit(""))
+    def pieces(b: Column) -> Column:
         mark = lambda s: F.struct(s.alias("text"), F.lit(False).alias("loss"))
-        return F.array(mark(head), F.struct(x["text"].alias("text"), (x["role"] == loss_role).alias("loss")), mark(tail))
+        role = F.replace(escape(b["role"]), F.lit("\n"), F.lit(NEWLINE))
+        said = lambda x: F.struct(escape(x).alias("text"), (b["role"] == loss_role).alias("loss"))
+        parts = F.transform(b["texts"], lambda x, j: F.when(j == 0, F.array(said(x))).otherwise(F.array(mark(F.lit(SEP)), said(x))))
+        return F.concat(F.array(mark(F.concat(F.lit(START), role, F.lit("\n")))), F.flatten(parts), F.array(mark(F.lit(END))))
 
-    parts = chats.select("conv_id", F.filter(F.flatten(F.transform("t", piece)), lambda s: s["text"] != "").alias("segments"))
+    parts = blocks.select("conv_id", F.filter(F.flatten(F.transform("b", pieces)), lambda s: s["text"] != "").alias("segments"))
     return parts.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
+def merged_turns(t: Column) -> Column:
+    """Sorted turns as blocks of one role: an array of ``role, texts``.
+
+    The places where the role changes are found first and each block is one slice, so the work grows
+    with the number of turns and not with its square, however many one conversation has.
+    """
+    n = F.size(t)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(t, i - 1)["role"] != F.get(t, i)["role"]))
+    ends = F.concat(F.slice(starts, 2, n), F.array(n))
+    block = lambda s, e: F.struct(F.get(t, s)["role"].alias("role"), F.transform(F.slice(t, s + 1, e - s), lambda x: x["text"]).alias("texts"))
+    return F.zip_with(starts, ends, block)
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation, unescaped."""
     blocks = F.filter(F.split(formatted, END.replace("|", r"\|")), lambda b: b != "")

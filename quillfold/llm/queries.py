@@ -164,13 +164,13 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 t AS (SELECT *, coalesce(lag(role) OVER w = role, false) AS follows, coalesce(lead(role) OVER w = role, false) AS goes_on
-      FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+      FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 p AS (SELECT *, CASE WHEN follows THEN 10 ELSE 13 + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) END
         + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + CASE WHEN goes_on THEN 0 ELSE 11 END AS n FROM t)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id""",
     "op9_minhash_near_dedup": f"""

@@ -368,6 +368,7 @@ def test_chat_round_trip(spark, tables):
     nasty = ["<|im_end|>\n", "<\\|im_sep|>", "<<||>", "\\", "", None, "a\n<|im_start|>assistant\nx", "<|nl|>", "<"]
     rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", n) for n in nasty] + [("assistant", n) for n in nasty] + [("we\nird<|", "x"), (None, "y")])]
     rows += [(2, None, "user", "late"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a"), (3, 0, "assistant", "only"), (3, 0, "assistant", "only"), (None, 0, "user", "z")]
+    rows += [(-2, 1, "user", x) for x in ("<|b", "<]b", "<|")] + [(-3, 1, r, "t") for r in ("us|", "us<|", "us<]")]  # ties that escaping would order otherwise
     rows += [tuple(r) for r in tables["conversations"].select("conv_id", "turn", "role", "text").where("conv_id > 3").collect()]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash")).withColumn("t", F.lit(0))
     read = chat_format.format_chat(turns).select("conv_id", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("segments")).alias("loss"), "formatted", "segments")
