@@ -129,22 +129,25 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, cfg: BoostConfig = BoostConfig())
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, cfg: BoostConfig = BoostConfig(), *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Boosted:
-    """Fit on at most ``cfg.sample`` labelled learning rows, chosen by a hash of their ids.
+    """Fit on at most ``cfg.sample`` labelled learning rows of ``docs``, chosen by a hash of id and text.
 
-    The rows are measured on the executors; the driver gets their statistics only.  With one class
-    or no labels the score is the share of label 1 (one half without labels).
+    The rows are measured on the executors; the driver gets the statistics of the chosen ones only.
+    Labels of ids that are not in ``docs`` take no place in the sample.  Labels that an id repeats
+    count as their largest; rows that repeat an id are rows of their own, ties of the hash go by their
+    statistics.  With one class or no labels the score is the share of label 1 (one half without
+    labels).
     """
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(cfg.folds)) != 0)
-    some = usable.groupBy(id_col).agg(F.max(label_col).alias(label_col)).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(cfg.sample)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in array_slices(batch.column(0)):
                 x = pa.array([document_statistics(t) for t in texts], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([x, batch.column(1).slice(first, len(texts))], ["x", "label"])
+                yield pa.RecordBatch.from_arrays([x, *(batch.column(k).slice(first, len(texts)) for k in (1, 2))], ["x", "label", "h"])
 
-    with labelled(docs, some, label_col, cfg.folds, id_col, text_col) as rows:
-        got = rows.select("text", "label").mapInArrow(run, "x array<double>, label int").toArrow()
+    with labelled(docs, labels, label_col, cfg.folds, id_col, text_col) as rows:
+        hashed = rows.select("text", "label", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+        most = hashed.select("h").orderBy("h").limit(cfg.sample + 1).agg(F.max("h").alias("h"), F.count("h").alias("n")).first()
+        near = hashed.where(F.col("h") <= most.h) if most.n > cfg.sample else hashed  # only these are measured
+        got = near.mapInArrow(run, "x array<double>, label int, h long").orderBy("h", "x", "label").limit(cfg.sample).toArrow()
     order = sorted(zip(got["x"].to_pylist(), got["label"].to_pylist(), strict=True))  # the same trees whatever the partitions
     x = np.array([r[0] for r in order], float) if order else np.zeros((0, 1))
     return fit_boosted(x, np.array([min(1, max(0, r[1])) for r in order], float), cfg)
