@@ -1,7 +1,8 @@
 """Language identification by nearest centroids of TF-IDF weighted letter n-grams.
 
-Document frequencies come from every row that may be learnt from.  The centroids of a language are
-found by spherical k-means in one task per language over a bounded sample of its rows.  A text gets
+Document frequencies come from every row that may be learnt from; the same pass over the texts finds
+the sample of each language.  The centroids of a language are found by spherical k-means in one task
+per language over its sample.  A text gets
 the language of the centroid with the largest cosine; texts further from it than almost all training
 texts of that language are marked as rejected.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillfold.llm.common import array_slices, crc_fold, per_text, pieces, small_side, structs
+from quillfold.llm.common import array_slices, crc_fold, materialise, per_text, pieces, small_side, structs
 
 #: Bytes other than letters and non-ASCII become blanks.
 _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -114,43 +115,64 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit_languages(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from the text and non-null language of rows outside the held-out fold only."""
+    """Learn from the text and non-null language of rows outside the held-out fold only.
+
+    The centroids of a language see at most ``cfg.sample`` different rows of it, those with the smallest
+    hashes of id and text; rows equal in both count once there, and every time in the document
+    frequencies.  Rows that repeat an id with other texts are rows of their own.  A language whose
+    texts have no letter is not learnt; an empty table gives a model that knows none.  The model has
+    ``cfg.centroids`` vectors of ``cfg.dims`` numbers for each language.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     learn = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold("doc_id", cfg.folds) != cfg.held_out))
+    learn = learn.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows per dimension and, as dimension -1, in all; the smallest hashes of each language."""
         df, n = np.zeros(cfg.dims, np.int64), 0
+        low: dict[str, np.ndarray] = {}
         for batch in batches:
-            for _, texts in array_slices(batch.column(0)):
+            lang, h = np.asarray(batch.column(0).to_pylist(), object), np.asarray(batch.column(2))
+            for name in set(lang):
+                seen = np.r_[low.get(name, np.empty(0, np.int64)), h[lang == name]]
+                low[name] = np.unique(seen)[: cfg.sample]
+            for _, texts in array_slices(batch.column(1)):
                 for part in _chunks(texts):
                     df += (ngram_counts(part, cfg) > 0).sum(axis=0)
                     n += len(part)
-        yield pa.RecordBatch.from_arrays([pa.array([*range(cfg.dims), -1], pa.int32()), pa.array([*df, n], pa.int64())], ["dim", "n"])
+        dims, langs = len(df) + 1, [name for name, v in low.items() for _ in v]
+        columns = [pa.array([*range(cfg.dims), -1] + [None] * len(langs), pa.int32()), pa.array([*df, n] + [None] * len(langs), pa.int64())]
+        columns += [pa.array([None] * dims + langs, pa.string()), pa.array([None] * dims + [int(x) for v in low.values() for x in v], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["dim", "n", "lang", "h"])
 
-    seen = learn.select("text").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
-    df = {r.dim: r.n for r in seen}
+    found = materialise(learn.mapInArrow(survey, "dim int, n long, lang string, h long"))
+    df = {r.dim: r.n for r in found.where("dim is not null").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + df.get(-1, 0)) / (1 + df.get(d, 0))) + 1 for d in range(cfg.dims)], np.float32)
-
-    # a hash share of each language about twice the sample first, so that no task ranks a whole language
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = known.where(F.col("lang").isNotNull() & (crc_fold("doc_id", cfg.folds) != cfg.held_out)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    near = learn.select("doc_id", "lang", h.alias("h")).join(small_side(sizes), "lang")
-    near = near.where(F.pmod("h", F.lit(1 << 31)) * F.col("n") < 2.0 * cfg.sample * (1 << 31))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picks = near.withColumn("k", order).where(F.col("k") <= cfg.sample)
-    sample = learn.join(small_side(picks.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
+    # ranked in 64 parts first, so that no task ranks what all tasks have found of a language
+    ranked = found.where("dim is null").select("lang", "h").distinct()
+    for keys in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        order = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        ranked = ranked.withColumn("k", order).where(F.col("k") <= cfg.sample).drop("k")
+    limits = materialise(ranked.groupBy("lang").agg(F.max("h").alias("most")))
+    sample = learn.join(small_side(limits), "lang").where("h <= most").select("lang", "text", "h")
     shared = spark.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of whole texts: what goes to the task of a language has a fixed size."""
+        """Counts of whole texts, once for equal rows: what goes to the task of a language has a fixed size."""
+        done: set[tuple[str, int]] = set()
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for first, texts in array_slices(batch.column(1)):
-                seen = [(i, t) for i, t in enumerate(texts, first) if _has_letter(t)]
-                for part in _chunks(seen):
+                new = []
+                for i, t in enumerate(texts, first):
+                    if keys[i] not in done and _has_letter(t):
+                        done.add(keys[i])
+                        new.append((i, t))
+                for part in _chunks(new):
                     counts = ngram_counts([t for _, t in part], cfg)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in part])), pa.array(list(counts), pa.list_(pa.float32()))], ["lang", "counts"])
+                    at = pa.array([i for i, _ in part])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(list(counts), pa.list_(pa.float32()))], ["lang", "h", "counts"])
 
     def centroids(t: pa.Table) -> pa.Table:
         counts = np.array(sorted(t["counts"].to_pylist()), np.float32)  # in an order of their own
@@ -160,8 +182,9 @@ def fit_languages(docs: DataFrame, cfg: LanguageConfig = LanguageConfig(), *, id
         n = len(c)
         return pa.table({"lang": pa.array([t["lang"][0].as_py()] * n), "limit": pa.array([limit] * n), "v": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32()))})
 
-    sample = sample.mapInArrow(vectors, "lang string, counts array<float>")
-    found = sample.groupBy("lang").applyInArrow(centroids, "lang string, limit double, v array<float>").orderBy("lang").collect()
+    sample = sample.mapInArrow(vectors, "lang string, h long, counts array<float>").dropDuplicates(["lang", "h"])
+    found = sample.groupBy("lang").applyInArrow(centroids, "lang string, limit double, v array<float>").collect()
+    found = [r for _, r in sorted(enumerate(found), key=lambda x: (x[1].lang, x[0]))]  # centroids of a language stay in order
     shared.unpersist()
     names = sorted({r["lang"] for r in found})
     limits = {r["lang"]: r["limit"] for r in found}
