@@ -11,7 +11,8 @@ from quillfold.llm.chat_format import format_chat, read_loss, read_turns
 from quillfold.llm.common import crc_fold, table
 from quillfold.llm.decontaminate import find_contamination
 from quillfold.llm.language_id import fit_languages, identify_languages
-from quillfold.llm.license_scan import TEMPLATES, LicenseConfig, group_templates, scan_licenses
+from quillfold.llm.license_scan import LicenseConfig, scan_licenses
+from quillfold.llm.license_texts import TEMPLATES
 from quillfold.llm.mixing import mix
 from quillfold.llm.near_dedup import NearDup, near_duplicates
 from quillfold.llm.quality_model import fit_quality, score_quality
@@ -123,22 +124,21 @@ _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 
 def _license_sql() -> str:
-    """Exact containment over the same windows, without the bands."""
-    rows = ", ".join(
-        f"('{n}', '{TEMPLATES[n]}', {g.k}, {g.step}, {g.span})" for g in group_templates(TEMPLATES, LicenseConfig()) for n in g.names
-    )
+    """Exact containment in the regions that begin at any shingle of a template: no windows, no bands."""
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
     word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {word}) AS w FROM documents WHERE text IS NOT NULL),
-t AS (SELECT name, k, step, span, regexp_extract_all({_LOW}, {word}) AS w FROM (VALUES {rows}) AS v(name, text, k, step, span)),
-tg AS (SELECT DISTINCT name, k, step, span, array_to_string(w[i:i + k - 1], ' ') AS g FROM t, unnest(range(1, len(w) - k + 2)) AS r(i)),
+t AS (SELECT *, least(len(w), {LicenseConfig.shingle_words}) AS k, len(w) + CAST(floor(len(w) * {LicenseConfig.slack}) AS BIGINT) AS r
+      FROM (SELECT name, regexp_extract_all({_LOW}, {word}) AS w FROM (VALUES {rows}) AS v(name, text))),
+tg AS (SELECT DISTINCT name, k, r, array_to_string(w[i:i + k - 1], ' ') AS g FROM t, unnest(range(1, len(w) - k + 2)) AS x(i)),
 n AS (SELECT name, count(*) AS n FROM tg GROUP BY name),
-dg AS (SELECT doc_id, k, i - 1 AS p, array_to_string(w[i:i + k - 1], ' ') AS g
-       FROM d, (SELECT DISTINCT k FROM t) AS ks, unnest(range(1, len(w) - k + 2)) AS r(i)),
-hit AS (SELECT doc_id, name, p, step, span, g FROM dg JOIN tg USING (k, g)),
-win AS (SELECT doc_id, name, g, unnest(range(greatest(0, -((span - 1 - p) // step)), p // step + 1)) AS i, p, step, span FROM hit),
-held AS (SELECT doc_id, name, i, count(DISTINCT g) AS h FROM win WHERE i * step <= p AND p < i * step + span GROUP BY doc_id, name, i),
-best AS (SELECT doc_id, name, max(h / n) AS c FROM held JOIN n USING (name) WHERE h / n >= 0.8 GROUP BY doc_id, name),
+dg AS (SELECT doc_id, k, i AS p, array_to_string(w[i:i + k - 1], ' ') AS g
+       FROM d, (SELECT DISTINCT k FROM t) AS ks, unnest(range(1, len(w) - k + 2)) AS x(i)),
+hit AS (SELECT doc_id, name, p, p + r - k AS last, g FROM dg JOIN tg USING (k, g)),
+held AS (SELECT a.doc_id, a.name, a.p, count(DISTINCT b.g) AS h FROM hit AS a
+         JOIN hit AS b ON a.doc_id = b.doc_id AND a.name = b.name AND b.p BETWEEN a.p AND a.last GROUP BY a.doc_id, a.name, a.p),
+best AS (SELECT doc_id, name, max(h / n) AS c FROM held JOIN n USING (name) WHERE h / n >= {LicenseConfig.containment} GROUP BY doc_id, name),
 s AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(c) AS c FROM best GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, CAST(coalesce(c, 0) AS DOUBLE) AS containment
 FROM documents LEFT JOIN s USING (doc_id)"""

@@ -45,8 +45,39 @@ def test_license_matches_equal_exact_containment(spark):
     assert got[3] == [] and got[4] == [("all-rights-reserved", 1.0)]
     assert all(got[i] == [] for i in range(10, 10 + len(ODD)))
     assert license_scan.scan_licenses(frame(spark, rows).limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        license_scan.scan_licenses(frame(spark, rows), {"big": "x" * 5_000_000})
+    assert license_scan.scan_licenses(frame(spark, rows).withColumn("licenses", F.lit(1))).columns.count("licenses") == 1
+
+
+def brute_containment(text, template, cfg):
+    """The largest share of a template's shingles in any region of a text."""
+    t, w = decontaminate.words_of(template), decontaminate.words_of(text)
+    k = min(cfg.shingle_words, len(t))
+    known = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    reach = cfg.region(len(t)) - k + 1
+    return max((len(known.intersection(grams[i : i + reach])) / len(known) for i in range(len(grams))), default=0)
+
+
+@pytest.mark.parametrize("block", [4_000_000, 2_000])
+def test_license_scan_of_edited_copies_equals_brute_force(spark, block):
+    rng = np.random.default_rng(4)
+    cfg = license_scan.LicenseConfig(block_bytes=block)
+    made = {f"made-{i}": " ".join(f"w{x}" for x in rng.integers(0, 400, int(n))) for i, n in enumerate(np.geomspace(20, 300, 100))}
+    templates = license_scan.TEMPLATES | made
+    rows = []
+    for i, name in enumerate(list(templates) * 2):
+        w = [f"p{x}" for x in rng.integers(0, 50, int(rng.integers(0, 40)))] + templates[name].split() + ["end"] * int(rng.integers(0, 9))
+        for at in rng.integers(0, len(w), int(rng.integers(0, 1 + len(w) // 25))):
+            w[at] = "changed" if i % 3 else f"put in {w[at]}"
+        rows.append((i, " ".join(w)))
+    found = license_scan.scan_licenses(frame(spark, rows), templates, cfg).select("doc_id", "licenses").collect()
+    for r in found:
+        want = {n: c for n, t in templates.items() if (c := brute_containment(rows[r.doc_id][1], t, cfg)) >= cfg.containment}
+        got: dict = {}
+        for m in r.licenses:
+            got[m.license] = max(got.get(m.license, 0), m.containment)
+        assert got == pytest.approx(want), rows[r.doc_id]
+    assert sum(len(r.licenses) > 0 for r in found) > 150
 
 
 def test_license_bands_reach_their_guarantee():
@@ -56,7 +87,7 @@ def test_license_bands_reach_their_guarantee():
             need = -(-len(grams) * 4 // 5)
             low = need / (g.span + len(grams) - need)  # a window with just enough of the template
             assert low == 1 or (1 - low) ** g.bands(cfg) <= cfg.miss
-        assert g.window - g.longest + 1 >= g.step  # every copy lies inside one window
+        assert g.window - g.longest + 1 >= g.step and g.longest == max(g.regions)  # every region lies inside one window
 
 
 # op2 -------------------------------------------------------------------------------------------
