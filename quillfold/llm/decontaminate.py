@@ -1,23 +1,27 @@
 """Benchmark decontamination: Wu-Manber search for word windows of test items in documents.
 
-The test items are the query set and are small; they travel to the executors in blocks of bounded
-size, whatever their number.  Each document is read once, in place: no shuffle and no join.
+The test items travel to the executors in blocks of bounded size, one at a time.  While one block
+holds them all, each document is read once, in place: no shuffle and no join.  With more blocks the
+documents are read once for each, and the few texts with hits are joined back.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import per_text, spare_name, structs
+from quillfold.llm.common import materialise, per_text, small_side, spare_name, structs
 
 #: Bytes that stay in words: digits, letters and all of non-ASCII; A-Z become a-z, the rest blanks.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+#: The same words as a pattern, in any case.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
@@ -82,19 +86,12 @@ def _merged(starts: list[tuple[int, int]]) -> list[dict[str, int]]:
     return spans
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcasts of the items' texts, each of about ``block_bytes`` at most.
+_KINDS = {"spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "items": pa.list_(pa.string())}
+_TYPE = "spans array<struct<start:long,end:long>>, items array<string>"
 
-    Long items are first cut into overlapping chunks, so that no row is larger than a block.
-    """
-    spark = items.sparkSession
-    rows = items.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")
-    ).where(F.col("text").isNotNull())
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
-    if n == 1:
-        return [spark.sparkContext.broadcast([(r.item, r.text) for r in rows.collect()])]
+
+def _chunks(rows: DataFrame, n: int, window: int, block_bytes: int) -> DataFrame:
+    """``item, text, at``: items dealt to ``n`` blocks, long ones in overlapping chunks first."""
     long_words = max(2 * window, block_bytes // 64)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -106,8 +103,42 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_byt
                     texts = [b" ".join(p).decode("utf-8", "replace") for p in parts]
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts)), pa.array(texts)], ["item", "text"])
 
-    chunks = rows.mapInArrow(cut, "item string, text string").withColumn("at", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
-    return [spark.sparkContext.broadcast([(r.item, r.text) for r in chunks.where(F.col("at") == k).collect()]) for k in range(n)]
+    return materialise(rows.mapInArrow(cut, "item string, text string").withColumn("at", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
+
+
+def _scan(shared, window: int):
+    """From texts to spans and items, with tables built once per task from a broadcast block."""
+
+    def make():
+        tables = build_tables(shared.value, window)
+
+        def scan(texts: list[str | None]) -> pa.Array:
+            hits: list[list[tuple[int, int]]] = [[] for _ in texts]
+            names: list[set[str]] = [set() for _ in texts]
+            for found, seen, text in zip(hits, names, texts, strict=True):
+                words = words_of(text)
+                for t in tables:
+                    for start, ids in t.find(words):
+                        found.append((start, start + t.m))
+                        seen.update(ids)
+            return structs(_KINDS, [[_merged(h) for h in hits], [sorted(s) for s in names]])
+
+        return scan
+
+    return per_text(make, _TYPE)
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """``k1, k2, spans, items`` of texts, from at most one row of each text and block."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [_merged([(s["start"], s["end"]) for part in parts for s in part]) for parts in batch.column(2).to_pylist()]
+            items = [sorted({i for part in parts for i in part}) for parts in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip((spans, items), _KINDS.values(), strict=True))], ["k1", "k2", *_KINDS])
+
+    by_text = rows.groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    return by_text.mapInArrow(unite, f"k1 long, k2 long, {_TYPE}")
 
 
 def find_contamination(
@@ -130,37 +161,39 @@ def find_contamination(
     Defined cases: a null or wordless text has no words and no hits; an item without words never
     occurs; an item shorter than ``window`` is one window; rows with equal item ids are one item; a
     null item id is listed as ``null``; repeated documents each have their row; an existing column
-    named ``out_col`` is replaced; empty tables give no hits or no rows.
+    named ``out_col`` is replaced; very long texts are searched whole; empty tables give no hits or no
+    rows.
     """
-    shared = _blocks(items, item_id_col, item_text_col, window, block_bytes)
-    kinds = {
-        "n_words": pa.int64(),
-        "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-        "items": pa.list_(pa.string()),
-    }
-
-    def make():
-        kept = build_tables(shared[0].value, window) if len(shared) == 1 else None
-
-        def scan(texts: list[str | None]) -> pa.Array:
-            words = [words_of(t) for t in texts]
-            hits: list[list[tuple[int, int]]] = [[] for _ in words]
-            names: list[set[str]] = [set() for _ in words]
-            for block in shared:
-                tables = kept if kept is not None else build_tables(block.value, window)
-                for found, seen, w in zip(hits, names, words, strict=True):
-                    for t in tables:
-                        for start, ids in t.find(w):
-                            found.append((start, start + t.m))
-                            seen.update(ids)
-                if kept is None:  # one block in memory at a time
-                    block.__dict__.pop("_value", None)
-            return structs(kinds, [[len(w) for w in words], [_merged(h) for h in hits], [sorted(s) for s in names]])
-
-        return scan
-
-    scan = per_text(make, "n_words long, spans array<struct<start:long,end:long>>, items array<string>", 1 << (20 if len(shared) == 1 else 26))
-    return docs.withColumn(out_col, scan(F.col(text_col).cast("string")))
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
+    rows = items.select(
+        F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")
+    ).where(F.col("text").isNotNull())
+    n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+    if n == 1:
+        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in rows.collect()])
+        hits = spare_name([*docs.columns, out_col], "hits")
+        found = docs.withColumn(hits, _scan(shared, window)(text))
+        return found.withColumn(out_col, F.struct(n_words.alias("n_words"), F.col(hits)["spans"].alias("spans"), F.col(hits)["items"].alias("items"))).drop(hits)
+
+    chunks = _chunks(rows, n, window, block_bytes)
+    key = {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
+    keyed = docs.where(text.isNotNull()).select(*(k.alias(c) for c, k in key.items()), text.alias("text"))
+    parts = []
+    for k in range(n):
+        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in chunks.where(F.col("at") == k).collect()])
+        seen = keyed.select("k1", "k2", _scan(shared, window)(F.col("text")).alias("h")).where(F.size("h.items") > 0)
+        parts.append(materialise(seen.select("k1", "k2", "h.*").dropDuplicates(["k1", "k2"])))
+        shared.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    names = {c: spare_name([*docs.columns, out_col], f"hits_{c}") for c in ("k1", "k2", *_KINDS)}
+    united = materialise(_united(every)).withColumnsRenamed(names)
+    found = docs.withColumns({names[c]: k for c, k in key.items()}).join(small_side(united), [names["k1"], names["k2"]], "left")
+    none = [F.coalesce(names[c], F.array().cast(t)).alias(c) for c, t in zip(_KINDS, ("array<struct<start:long,end:long>>", "array<string>"), strict=True)]
+    out = found.withColumn(out_col, F.struct(n_words.alias("n_words"), *none))
+    return out.select(*(F.col(c) for c in docs.columns if c.lower() != out_col.lower()), out_col)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
