@@ -28,8 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A folder for this session's intermediate tables inside ``spark.checkpoint.dir``.
 
-    Executors and the driver all see that folder.  Only where the setting is absent (tests) is a
-    local one made.  The folder is removed when the driver process ends.
+    Executors and the driver all see that folder.  Where the setting is absent, a local one is made
+    in local mode (tests), and anything else raises.  The folder is removed when the driver process ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
@@ -37,6 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
         if not base:
             import tempfile
 
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="quillfold-")
             spark.sparkContext.setCheckpointDir(base)
         _SCRATCH[app] = f"{base.rstrip('/')}/quillfold-{app}"
@@ -125,13 +127,6 @@ def spare_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
-def with_fields(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
-    """``schema`` with the named fields added; a field of the same name is replaced."""
-    new = {n.lower() for n, _ in fields}
-    kept = [f for f in schema.fields if f.name.lower() not in new]
-    return T.StructType(kept + [T.StructField(n, T._parse_datatype_string(t), True) for n, t in fields])
-
-
 def per_text(make: Callable[[], Callable[[list[str | None]], pa.Array]], returns: str, max_bytes: int = 1 << 20) -> Callable[[F.Column], F.Column]:
     """An Arrow function of one text column, applied to slices of about ``max_bytes``.
 
@@ -153,13 +148,73 @@ def structs(kinds: dict[str, pa.DataType], columns: list) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
-#: A table of ids and labels is broadcast up to this many rows (some 64 MB); beyond it, the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast up to this many bytes, as counted; beyond it, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Largest filter of ids, in bits (32 MB): beyond some 30 million ids it lets more and more rows pass.
+FILTER_BITS = 28
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast join if a count of its bytes proves it small, else as it is."""
+    return F.broadcast(df) if is_small(df)[0] else df
+
+
+def is_small(df: DataFrame) -> tuple[bool, int]:
+    """Whether ``df`` may be broadcast, and its number of rows."""
+    size = F.lit(16)
+    for f in df.schema:
+        name = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    n, total = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return (total or 0) <= BROADCAST_BYTES, n
+
 
+def _filter_bits(h: F.Column, bits: int) -> list[F.Column]:
+    return [h.bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(h, 64 - bits)]
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for a broadcast join if a count proves it small, else as it is."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+
+def _may_hold(ids: DataFrame, key: str, n: int) -> Callable[[F.Column], F.Column]:
+    """A Bloom filter of the ids: false for most values that are not among them, true for all that are."""
+    bits = min(FILTER_BITS, max(10, (8 * n).bit_length()))
+    at = ids.select(F.explode(F.array(*_filter_bits(F.xxhash64(key), bits))).alias("b"))
+    words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[np.asarray(words["w"])] = np.asarray(words["v"]).view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+    mask, top = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        h = np.asarray(h).view(np.uint64)
+        found = np.ones(len(h), bool)
+        for b in (h & mask, h >> top):
+            found &= (shared.value[b >> np.uint64(6)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+        return pa.array(found)
+
+    return lambda column: test(F.xxhash64(column))
+
+
+def join_few(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
+    """``df.join(few, key, how)`` for ``left``, ``left_semi`` and ``left_anti`` without shuffling most of ``df``.
+
+    ``few``, which holds a value of ``key`` once, is broadcast if it is small.  Otherwise a Bloom
+    filter of its keys goes to the executors; the rows of ``df`` that it excludes stay where they are,
+    and only the others take part in the join.
+    """
+    small, n = is_small(few)
+    if small:
+        return df.join(F.broadcast(few), key, how)
+    may = spare_name([*df.columns, *few.columns], "may_be_there")
+    tested = df.withColumn(may, _may_hold(few, key, n)(F.col(key)))
+    hit = tested.where(may).drop(may).join(few, key, how)
+    if how == "left_semi":
+        return hit
+    return hit.unionByName(tested.where(~F.col(may)).drop(may), allowMissingColumns=True)
 
 
 @contextmanager

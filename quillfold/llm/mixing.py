@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillfold.llm.common import WORD, materialise, small_side, spare_name
+from quillfold.llm.common import WORD, join_few, materialise, small_side, spare_name
 
 _EPS = 1e-9
 
@@ -155,6 +155,15 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), *, id_col: str = "doc_id"
     the seed only, not on partitions; other columns are ignored; an empty table gives an empty
     result.
     """
+    each = _decided(docs, cfg, id_col, source_col, text_col).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    copies = F.col("base") + F.col("more")
+    return each.select(
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    )
+
+
+def _decided(docs: DataFrame, cfg: MixConfig, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """``doc_id, source, size, m, source_size, target, base, more``: ``m`` equal rows are taken ``base + more`` times, ``more`` 0 or 1."""
     text_of = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     units = materialise(text_of.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m")))
     sources = small_side(source_targets(units, cfg))
@@ -182,24 +191,28 @@ def mix(docs: DataFrame, cfg: MixConfig = MixConfig(), *, id_col: str = "doc_id"
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    copies = F.col("base") + F.round("p").cast("long")
-    each = out.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
-    return each.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return out.select("doc_id", "source", "size", "m", "source_size", "target", "base", F.round("p").cast("long").alias("more"))
 
 
 def take_mix(docs: DataFrame, cfg: MixConfig = MixConfig(), *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with ``copy`` from 1 on.
 
-    A column of ``docs`` named ``copy`` is replaced.
+    All documents of a source are taken either ``base`` or ``base + 1`` times; only the ids of the
+    rarer of the two are joined to the documents.  A column of ``docs`` named ``copy`` is replaced;
+    other cases as in :func:`mix`.
     """
-    plan = mix(docs, cfg, id_col=id_col, source_col=source_col, text_col=text_col).where("copies > 0")
-    plan = plan.select("doc_id", "source", "size", "copies").dropDuplicates(["doc_id", "source", "size"])
-    size = spare_name(docs.columns, "size_in_words")
-    sized = docs.withColumn(size, word_count(F.col(text_col)))
-    same = (
-        sized[id_col].eqNullSafe(plan["doc_id"]) & sized[source_col].cast("string").eqNullSafe(plan["source"]) & (sized[size] == plan["size"])
-    )
-    kept = [sized[c] for c in docs.columns if c.lower() != "copy"]
-    return sized.join(plan, same).select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), plan["copies"])).alias("copy"))
+    units = materialise(_decided(docs, cfg, id_col, source_col, text_col).select("doc_id", "source", "size", "base", "more").distinct())
+    usual = units.groupBy("source").agg(F.max("base").alias("base"), F.when(2 * F.sum("more") > F.count(F.lit(1)), 1).otherwise(0).alias("usual"))
+    usual = materialise(usual.select(F.col("source").alias("of"), "base", "usual"))
+    key, mark, of, base, most = (spare_name([*docs.columns, "copy"], n) for n in ("mix_key", "mix_other", "mix_source", "mix_base", "mix_usual"))
+    row_key = lambda i, s, n: F.sha2(F.to_json(F.struct(i.cast("string").alias("i"), s.cast("string").alias("s"), n.alias("n"))), 256)
+    small = small_side(usual)
+    other = units.join(small, units["source"].eqNullSafe(small["of"])).where(F.col("more") != F.col("usual"))
+    other = materialise(other.select(row_key(F.col("doc_id"), F.col("source"), F.col("size")).alias(key), F.lit(True).alias(mark)))
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(source_col), word_count(F.col(text_col))))
+    found = join_few(keyed, other, key, "left")
+    sources = small_side(usual.select(F.col("of").alias(of), F.col("base").alias(base), F.col("usual").alias(most)))
+    found = found.join(sources, found[source_col].cast("string").eqNullSafe(sources[of]), "left")
+    copies = F.col(base) + F.when(F.col(mark), 1 - F.col(most)).otherwise(F.col(most))
+    kept = [F.col(c) for c in docs.columns if c.lower() != "copy"]
+    return found.where(copies > 0).select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))

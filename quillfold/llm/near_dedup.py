@@ -12,8 +12,9 @@ Plan
    searched once more, by an exact filter on their differences from the group's common core.
    Pairs of one component can add nothing, so after that no link between components is left untried.
 
-The texts are read once in full and again for the members of tried pairs, and are shuffled only if
-those are too many to broadcast their ids.
+The texts are read once in full and again for the members of tried pairs.  Those are found by their
+broadcast ids or, if these are too many, by a join of the texts that a Bloom filter of the ids lets
+pass; all other texts stay in place.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import materialise, mix64, small_side, text_slices
+from quillfold.llm.common import join_few, materialise, mix64, text_slices
 from quillfold.llm.components import connected_components
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -132,7 +133,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, cfg: NearDup, id_col: str, text_co
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    some = rows.join(small_side(wanted.select("doc_id")), "doc_id", "left_semi").select("text").where(F.col("text").isNotNull())
+    some = join_few(rows.where(F.col("text").isNotNull()), wanted.select("doc_id"), "doc_id", "left_semi").select("text")
     return some.mapInArrow(run, "cid long, grams array<long>").dropDuplicates(["cid"])
 
 
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str = "do
         .distinct()
     )
     classes = materialise(
-        full.join(small_side(materialise(members.select("cid").distinct())), "cid", "left_semi")
+        join_few(full, materialise(members.select("cid").distinct()), "cid", "left_semi")
         .groupBy("cid")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     )
@@ -357,6 +358,6 @@ def drop_near_duplicates(docs: DataFrame, cfg: NearDup = NearDup(), id_col: str
     )
     odd = materialise(per_id.where(~F.col("k") | (F.col("n") > 1)).select(F.col("doc_id").alias(id_col), "k"))
     twice = odd.where("k").select(id_col)
-    plain = docs.join(small_side(odd.select(id_col)), id_col, "left_anti").select(*docs.columns)
-    again = docs.join(small_side(twice), id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    plain = join_few(docs, odd.select(id_col), id_col, "left_anti").select(*docs.columns)
+    again = join_few(docs, twice, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     return plain.unionByName(again)

@@ -201,7 +201,7 @@ def water_fill(sizes, weights=(1, 2, 3), cap=3):
         full |= over
 
 
-def test_mix_meets_its_targets(spark):
+def test_mix_meets_its_targets(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(1, 400)), "en", "hot" if i % 3 == 0 else ["a", "b", "Ä", None, "c"][i % 5]) for i in range(3000)]
     rows += [(5000, "tiny words", "en", "tiny"), (5001, None, "en", "void"), (5002, "", "en", "a"), (1, rows[1][1], "en", rows[1][3])]
@@ -219,7 +219,13 @@ def test_mix_meets_its_targets(spark):
         if sizes[r.source] > 1000:
             assert taken[r.source] == pytest.approx(r.target, rel=0.01)
     mixed = mixing.take_mix(docs)
-    assert mixed.columns == [*docs.columns, "copy"] and mixed.count() == sum(r.copies for r in got)
+    assert mixed.columns == [*docs.columns, "copy"]
+    times = Counter({(r.doc_id, r.source, r["size"]): r.copies for r in got if r.copies})
+    twice = Counter((r.doc_id, r.source, r["size"]) for r in got)
+    taken_rows = lambda df: Counter((r.doc_id, r.source, len((r.text or "").split())) for r in df.collect())
+    assert taken_rows(mixed) == {k: n * twice[k] for k, n in times.items()}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert taken_rows(mixing.take_mix(docs)) == taken_rows(mixed)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -440,8 +446,10 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates_equal_brute_force(spark, k):
+@pytest.mark.parametrize(("k", "limit"), [(4, None), (5, None), (5, 0)])
+def test_near_duplicates_equal_brute_force(spark, k, limit, monkeypatch):
+    if limit is not None:  # nothing may be broadcast: the ways for tables beyond the bound
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     rng = np.random.default_rng(k)
     rows, base = [], [f"w{i}" for i in rng.integers(0, 3000, 120)]
     for i in range(90):  # a large group around one text, with pairs on both sides of the threshold
@@ -453,7 +461,10 @@ def test_near_duplicates_equal_brute_force(spark, k):
     rows += [(200 + i, f"{passage} " + " ".join(f"u{rng.integers(10**6)}" for _ in range(int(rng.integers(4, 40))))) for i in range(40)]
     rows += [(300 + i, "same text for all of them here") for i in range(30)] + [(400, "Same TEXT for all of them here"), (401, "a"), (402, "A"), (403, "b"), (404, ""), (405, None)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows), near_dedup.NearDup(shingle_words=k)).collect()}
-    assert got == brute_components(rows, k, 80)
+    want = brute_components(rows, k, 80)
+    assert got == want
+    kept = near_dedup.drop_near_duplicates(frame(spark, rows), near_dedup.NearDup(shingle_words=k))
+    assert kept.columns == frame(spark, rows).columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
 def test_pivot_pairs_of_a_group_without_a_core(spark):
