@@ -44,7 +44,10 @@ def ngram_counts(texts: list[str | None], cfg: LanguageConfig) -> np.ndarray:
     """Dense counts ``[texts, dims]`` of the hashed byte n-grams of lower-cased letters."""
     if any(t and len(t) > 1 << 20 for t in texts):  # very long texts piece by piece
         return np.concatenate([sum(ngram_counts([p], cfg) for p in pieces(t or "", 1 << 19)) for t in texts])
-    rows = [b" " + b" ".join(t.lower().encode("utf-8", "replace").translate(_TABLE).split()) + b" " if t else b"" for t in texts]
+    return _hashed([b" " + b" ".join(t.lower().encode("utf-8", "replace").translate(_TABLE).split()) + b" " if t else b"" for t in texts], cfg)
+
+
+def _hashed(rows: list[bytes], cfg: LanguageConfig) -> np.ndarray:
     b = np.frombuffer(b"".join(rows), np.uint8).astype(np.uint64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     out = np.zeros(len(rows) * cfg.dims, np.float32)

@@ -236,14 +236,26 @@ def test_flight_keeps_both_totals():
     assert q @ x == pytest.approx(p @ x) and q.sum() == pytest.approx(p.sum()) and ((q > 0) & (q < 1)).sum() <= 2
 
 
+def test_landing_is_the_best_of_all_ways():
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        x, p = rng.integers(1, 900, 10).astype(float), rng.uniform(0.05, 0.95, 10)
+        got = np.array(mixing._land(x.tolist(), [1.0] * 10, p.tolist()))
+        cost = lambda q: abs((q - p) @ x) / max(1.0, x.mean()) + 0.01 * abs((q - p).sum())
+        assert set(got) <= {0.0, 1.0} and cost(got) == pytest.approx(min(cost(np.array(q, float)) for q in product((0, 1), repeat=10)))
+
+
 # op6 -------------------------------------------------------------------------------------------
 
 
 def test_language_id(spark, tables):
     docs = tables["documents"]
     model = language_id.fit_languages(docs)
-    got = language_id.identify_languages(docs, model).select("lang", "language.lang", "language.score").collect()
-    assert np.mean([r[0] == r[1] for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
+    held = language_id.identify_languages(docs.where(common.crc_fold("doc_id", 4) == 2), model)
+    got = held.select("lang", "language.lang", "language.score").collect()
+    assert len(got) > 30 and np.mean([r[0] == r[1] for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
     odd = {(r.doc_id, r.text): r.language for r in language_id.identify_languages(frame(spark, ODD), model).collect()}
     assert all(odd[k].lang == "und" and odd[k].score == 0 for k in [(1, None), (2, ""), (3, " \n\t ")])
     assert odd[(6, "été 日本 !!")].lang in model.languages
@@ -262,6 +274,40 @@ def test_languages_learn_from_whole_texts(spark):
     assert np.allclose(centre @ language_id._unit(n * model.idf).T, 1, atol=1e-4)
 
 
+def test_language_id_equals_brute_force(spark, tables):
+    """TF-IDF and the nearest centroid over dictionaries of bytes; the centroids come from the model."""
+    docs = tables["documents"].limit(50)
+    cfg = language_id.LanguageConfig(dims=1 << 16)  # wide enough that few n-grams share a dimension
+    model = language_id.fit_languages(docs, cfg)
+    rows = [r for r in docs.withColumn("held", common.crc_fold("doc_id", 4) == 2).collect() if r.text]
+
+    def grams(text):
+        b = b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())) + b" "
+        return Counter(b[i : i + n] for n in cfg.sizes for i in range(len(b) - n + 1))
+
+    learn = [grams(r.text) for r in rows if not r.held]
+    df = Counter(g for c in learn for g in c)
+    idf = lambda g: np.log((1 + len(learn)) / (1 + df[g])) + 1
+    place = {g: int(np.argmax(language_id._hashed([g], language_id.LanguageConfig(sizes=(len(g),), dims=cfg.dims)))) for r in rows for g in grams(r.text)}
+    shared = len(place) - len(set(place.values()))
+    assert shared < 0.1 * len(place)
+    for r in rows[:20]:
+        v = np.zeros(cfg.dims)
+        for g, n in grams(r.text).items():
+            v[place[g]] += n * idf(g)
+        cosine = model.vectors @ (v / np.linalg.norm(v))
+        name, score, _ = (x[0] for x in model.predict([r.text]))
+        assert name == model.languages[model.owner[int(cosine.argmax())]] and score == pytest.approx(cosine.max(), abs=0.02)
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    rows = [(1, f"abab baba ab{i}", "xx") for i in range(900)] + [(i, "kiki lolo", "kk") for i in range(10, 40)] + [(8, "same words", "zz")] * 50
+    docs = frame(spark, rows)
+    model = language_id.fit_languages(docs, language_id.LanguageConfig(sample=20))
+    assert model.languages == ["kk", "xx", "zz"]  # a repeated id starves nothing
+    assert model.predict(["abab baba", "kiki", "same words", None])[0] == ["xx", "kk", "zz", "und"]
+
+
 # op7, op10 -------------------------------------------------------------------------------------
 
 
@@ -362,8 +408,13 @@ def test_toxicity_equals_brute_force_kneser_ney(spark):
 def test_quality_scores_on_held_out_rows(spark, tables):
     docs, labels = tables["documents"], tables["labels"]
     model = quality_model.fit_quality(docs, labels)
-    rows = quality_model.score_quality(docs, model).join(labels, "doc_id").where("quality is not null").collect()
-    assert np.mean([(r.quality_score >= 0.3) == bool(r.quality) for r in rows]) > 0.9
+    held = docs.where(common.crc_fold("doc_id", 5) == 0)
+    rows = quality_model.score_quality(held, model).join(labels, "doc_id").where("quality is not null").collect()
+    assert len(rows) >= 10 and np.mean([(r.quality_score >= 0.3) == bool(r.quality) for r in rows]) >= 0.9
+    absent = spark.range(10_000_000, 10_100_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    more = quality_model.fit_quality(docs, labels.unionByName(absent))  # labels without documents take no place
+    assert np.array_equal(more.leaf, model.leaf) and np.array_equal(more.cut, model.cut)
+    assert quality_model.score_quality(docs.limit(0), model).count() == 0
     odd = quality_model.score_quality(frame(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.quality_score <= 1 for r in odd)
     assert {r.quality_score for r in quality_model.score_quality(docs, quality_model.fit_quality(docs.limit(0), labels)).limit(3).collect()} == {0.5}
@@ -494,6 +545,60 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_recall_of_near_copies_above_the_threshold(spark):
+    """Copies with one to twelve changed words of 200; every pair that is similar enough must meet."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(150):
+        w = [f"g{g}w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((2 * g, " ".join(w)))
+        for at in rng.choice(200, 1 + g % 12, replace=False):
+            w[at] = f"new{rng.integers(10**6)}"
+        rows.append((2 * g + 1, " ".join(w)))
+    want = brute_components(rows, 5, 80)
+    linked = [i for i, (_, c) in want.items() if c != i]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert len(linked) > 40 and np.mean([got[i] == want[i][1] for i in linked]) >= 0.99
+    assert all(got[i] == i for i, (_, c) in want.items() if c == i)
+
+
+# all operators ---------------------------------------------------------------------------------
+
+
+def test_five_megabytes_and_clashing_columns(spark, tables):
+    """One very long text whole through every operator, over columns named as the operators' results."""
+    items = [(r.item_id, r.text) for r in tables["benchmark"].limit(5).collect()]
+    rng = np.random.default_rng(9)
+    body = " ".join(f"w{x}" for x in rng.integers(0, 100_000, 750_000))
+    tail = f" {license_scan.TEMPLATES['Apache-2.0']} idiot moron {items[2][1]}"
+    docs = frame(spark, [(1, body + tail), (2, body + tail), (3, "short text"), (4, None)])
+    assert len(body) > 5_000_000
+    names = ["licenses", "tokens", "rules", "contamination", "language", "toxicity", "quality_score", "copy", "size", "evidence", "hits", "stats"]
+    clash = docs.select("*", *(F.lit("clash").alias(n) for n in names))
+    labels = tables["labels"]
+
+    def first(df, column):
+        assert df.columns.count(column) == 1 and set(df.columns) == set(clash.columns)
+        got = {r.doc_id: r[column] for r in df.select("doc_id", column).collect()}
+        assert got[1] == got[2] and len(got) == 4
+        return got[1]
+
+    assert [m.license for m in first(license_scan.scan_licenses(clash), "licenses")] == ["Apache-2.0"]
+    assert first(token_count.count_tokens(clash), "tokens").n_bytes == len(body + tail)
+    rules = first(quality_rules.apply_rules(clash, quality_rules.Cutoffs()), "rules")
+    assert (rules.n_words, rules.n_repeat_words) == (brute_statistics(body + tail)[0], brute_statistics(body + tail)[4])
+    seen = first(decontaminate.find_contamination(clash, spark.createDataFrame(items, "item_id long, text string")), "contamination")
+    assert seen["items"] == [str(items[2][0])] and seen.spans[-1].end == seen.n_words
+    assert first(language_id.identify_languages(clash, language_id.fit_languages(tables["documents"])), "language").lang != "und"
+    assert 0 <= first(toxicity.score_toxicity(clash, toxicity.fit_toxicity(tables["documents"], labels)), "toxicity") <= 1
+    assert 0 <= first(quality_model.score_quality(clash, quality_model.fit_quality(tables["documents"], labels)), "quality_score") <= 1
+    assert {r.doc_id for r in near_dedup.drop_near_duplicates(clash).collect()} == {1, 3, 4}
+    assert {r["size"] for r in mixing.mix(clash).collect()} == {len((body + tail).split()), 2, 0}
+    chat = clash.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text", "size")
+    turns = chat_format.format_chat(chat).select(chat_format.read_turns(F.col("formatted")).alias("t")).first().t
+    assert [t.text for t in turns] == [body + tail, body + tail, "short text", ""]
+
+
 # pipeline --------------------------------------------------------------------------------------
 
 
