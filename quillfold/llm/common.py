@@ -131,7 +131,8 @@ def per_text(make: Callable[[], Callable[[list[str | None]], pa.Array]], returns
     """An Arrow function of one text column, applied to slices of about ``max_bytes``.
 
     ``make`` runs once per task and gives the function from a list of texts to an Arrow array, so
-    models and tables are built on the executors.
+    models and tables are built on the executors.  It counts as non-deterministic, which it is not, so
+    that a filter on its result is not pushed below a join or projection, where it would run once more.
     """
 
     @F.arrow_udf(returns)
@@ -141,7 +142,7 @@ def per_text(make: Callable[[], Callable[[list[str | None]], pa.Array]], returns
             parts = [function(part) for _, part in array_slices(texts, max_bytes)]
             yield pa.concat_arrays(parts) if parts else function([])
 
-    return run
+    return run.asNondeterministic()
 
 
 def structs(kinds: dict[str, pa.DataType], columns: list) -> pa.Array:
@@ -149,7 +150,7 @@ def structs(kinds: dict[str, pa.DataType], columns: list) -> pa.Array:
 
 
 #: A side of a join is broadcast up to this many bytes, as counted; beyond it, the join shuffles.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Largest filter of ids, in bits (32 MB): beyond some 30 million ids it lets more and more rows pass.
 FILTER_BITS = 28
 

@@ -205,7 +205,7 @@ def take_mix(docs: DataFrame, cfg: MixConfig = MixConfig(), *, id_col: str = "do
     usual = units.groupBy("source").agg(F.max("base").alias("base"), F.when(2 * F.sum("more") > F.count(F.lit(1)), 1).otherwise(0).alias("usual"))
     usual = materialise(usual.select(F.col("source").alias("of"), "base", "usual"))
     key, mark, of, base, most = (spare_name([*docs.columns, "copy"], n) for n in ("mix_key", "mix_other", "mix_source", "mix_base", "mix_usual"))
-    row_key = lambda i, s, n: F.sha2(F.to_json(F.struct(i.cast("string").alias("i"), s.cast("string").alias("s"), n.alias("n"))), 256)
+    row_key = lambda i, s, n: F.unhex(F.md5(F.to_json(F.struct(i.cast("string").alias("i"), s.cast("string").alias("s"), n.alias("n")))))
     small = small_side(usual)
     other = units.join(small, units["source"].eqNullSafe(small["of"])).where(F.col("more") != F.col("usual"))
     other = materialise(other.select(row_key(F.col("doc_id"), F.col("source"), F.col("size")).alias(key), F.lit(True).alias(mark)))

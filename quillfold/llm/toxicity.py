@@ -68,7 +68,7 @@ def _positions(words: list[str], cfg: ToxicityConfig) -> tuple[np.ndarray, np.nd
     return context[1:], length[1:], b[1:], np.flatnonzero(blank[1:])
 
 
-def _runs(parts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
+def _runs(parts: list[str], limit: int = 1 << 19) -> Iterator[list[str]]:
     """Lists of texts of at most ``limit`` characters together (one text at least)."""
     run, size = [], 0
     for p in parts:
@@ -110,7 +110,7 @@ def _count_ngrams(rows: DataFrame, cfg: ToxicityConfig) -> DataFrame:
                 for t, y in zip(texts, part[first : first + len(texts)], strict=True):
                     for p in pieces(t or ""):
                         tally[y].update(_words(p))
-                if sum(map(len, tally)) > 500_000:
+                if sum(map(len, tally)) > 300_000:
                     yield from grams(tally)
                     tally = [Counter() for _ in _COUNTS]
         yield from grams(tally)
