@@ -2,12 +2,15 @@
 
 Every function returns a boolean column that is never null.  Where the right side is a Python value
 the forms keep their comparisons visible to the Parquet reader (``PushedFilters``); ``gt`` and
-``ge`` include the null test, so that ``not_`` of them is right and is pushed down too.
+``ge`` include the null test, so that ``not_`` of them is right and is pushed down too.  A text and a
+number are never equal, and neither is less than the other; their types are known when the query is
+planned, so the test of the types leaves no trace in the plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -21,8 +24,32 @@ def _col(x: Any) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _is_text(x: Any) -> Column:
+    return F.typeof(x).isin("string") if isinstance(x, Column) else F.lit(isinstance(x, str))
+
+
+def _is_number(x: Any) -> Column:
+    if isinstance(x, Column):
+        return F.typeof(x).isin(*_NUMBERS) | F.startswith(F.typeof(x), F.lit("decimal"))
+    return F.lit(isinstance(x, (int, float, Decimal)) and not isinstance(x, bool))
+
+
+def _alike(left: Any, right: Any, result: Column, otherwise: bool = False) -> Column:
+    """``result``, or ``otherwise`` where one side is a text and the other a number."""
+    unlike = (_is_text(left) & _is_number(right)) | (_is_number(left) & _is_text(right))
+    return F.when(unlike, F.lit(otherwise)).otherwise(result)
+
+
 def eq(left: Any, right: Any) -> Column:
-    return _col(left).eqNullSafe(_col(right))
+    l, r = _col(left), _col(right)  # noqa: E741
+    same = l.eqNullSafe(r)
+    if right is None:
+        return same
+    both = _alike(left, right, same)
+    return both | (l.isNull() & r.isNull()) if isinstance(right, Column) else both
 
 
 def ne(left: Any, right: Any) -> Column:
@@ -34,8 +61,8 @@ def lt(left: Any, right: Any) -> Column:
     if right is None:
         return F.lit(False)
     if not isinstance(right, Column):
-        return l.isNull() | (l < r)
-    return (l.isNull() & r.isNotNull()) | F.coalesce(l < r, F.lit(False))
+        return l.isNull() | _alike(left, right, l < r)
+    return (l.isNull() & r.isNotNull()) | F.coalesce(_alike(left, right, l < r), F.lit(False))
 
 
 def le(left: Any, right: Any) -> Column:
@@ -43,8 +70,8 @@ def le(left: Any, right: Any) -> Column:
     if right is None:
         return l.isNull()
     if not isinstance(right, Column):
-        return l.isNull() | (l <= r)
-    return l.isNull() | F.coalesce(l <= r, F.lit(False))
+        return l.isNull() | _alike(left, right, l <= r)
+    return l.isNull() | F.coalesce(_alike(left, right, l <= r), F.lit(False))
 
 
 def gt(left: Any, right: Any) -> Column:
@@ -52,8 +79,8 @@ def gt(left: Any, right: Any) -> Column:
     if right is None:
         return l.isNotNull()
     if not isinstance(right, Column):
-        return l.isNotNull() & (l > r)
-    return (l.isNotNull() & r.isNull()) | F.coalesce(l > r, F.lit(False))
+        return l.isNotNull() & _alike(left, right, l > r)
+    return (l.isNotNull() & r.isNull()) | F.coalesce(_alike(left, right, l > r), F.lit(False))
 
 
 def ge(left: Any, right: Any) -> Column:
@@ -61,8 +88,8 @@ def ge(left: Any, right: Any) -> Column:
     if right is None:
         return F.lit(True)
     if not isinstance(right, Column):
-        return l.isNotNull() & (l >= r)
-    return r.isNull() | F.coalesce(l >= r, F.lit(False))
+        return l.isNotNull() & _alike(left, right, l >= r)
+    return r.isNull() | F.coalesce(_alike(left, right, l >= r), F.lit(False))
 
 
 def true(x: Column) -> Column:

@@ -137,6 +137,16 @@ def add_months(x: Column, months: int = 0, years: int = 0) -> Column:
     return x + F.make_ym_interval(F.lit(years), F.lit(months))
 
 
+def now() -> Column:
+    """The time of the query, the same for all its rows, without a time zone."""
+    return F.localtimestamp()
+
+
+def today() -> Column:
+    """Midnight of the query's day, without a time zone."""
+    return F.date_trunc("day", F.localtimestamp()).cast("timestamp_ntz")
+
+
 # arrays and JSON
 def array_count(x: Column) -> Column:
     return F.size(x)
@@ -161,7 +171,10 @@ def json_field(x: Column, path: str) -> Column:
 
 
 def value_order(x: Column) -> Column:
-    """A sortable key of a ``variant`` of mixed types: null < boolean < number < string < the rest."""
+    """A sortable key of a ``variant`` of mixed types: null < boolean < number < string < the rest.
+
+    The ranks are fixed values: those by which documents order values of different types.
+    """
     kind = F.schema_of_variant(x)
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
     rank = F.when(x.isNull() | (kind == "VOID"), 1).when(kind == "BOOLEAN", 2).when(number, 3).when(kind == "STRING", 7).otherwise(11)

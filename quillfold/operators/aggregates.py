@@ -13,12 +13,16 @@ def total(x: Column) -> Column:
     return F.coalesce(F.sum(x), F.lit(0))
 
 
-def exact_total(x: Column, scale: int = 2) -> Column:
-    """The same sum whatever the order of the rows: added up as decimals."""
-    return F.coalesce(F.sum(x.cast(f"decimal(18,{scale})")).cast("double"), F.lit(0.0))
+def exact_total(x: Column, scale: int = 10) -> Column:
+    """The sum as a double, added up as decimals of 28 digits before the point and ``scale`` after it.
 
+    The result does not depend on the order of the rows.  Values of more places lose those beyond
+    ``scale``; values and sums of more digits, NaN and infinity raise, as they do in a decimal sum.
+    """
+    return F.coalesce(F.sum(x.cast(f"decimal(38,{scale})")).cast("double"), F.lit(0.0))
 
-def average(x: Column, scale: int = 2) -> Column:
+
+def average(x: Column, scale: int = 10) -> Column:
     """Sum over the number of all rows, nulls included; 0 over no rows."""
     n = F.count(F.lit(1))
     return F.when(n == 0, F.lit(0.0)).otherwise(exact_total(x, scale) / n)

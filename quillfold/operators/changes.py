@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
+from datetime import datetime
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -19,14 +20,23 @@ def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows.select(*(F.col(c).cast(table.schema[c].dataType) for c in rows.columns)), allowMissingColumns=True).select(*table.columns)
 
 
+def _keys(rows: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """The keys of changed rows, broadcast if a count proves them few and they are short."""
+    keys = rows.select(key)
+    size = F.octet_length(F.col(key).cast("string"))
+    n, longest = keys.limit(most + 1).agg(F.count(F.lit(1)), F.max(size)).first()
+    return F.broadcast(keys) if n <= most and n * (longest or 0) <= 16 << 20 else keys
+
+
 def update(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Replace whole rows by key; a key that is not there changes nothing."""
-    known = rows.join(table.select(key), key, "left_semi")
-    return insert(table.join(known.select(key), key, "left_anti").select(*table.columns), known)
+    keys = _keys(rows, key)
+    known = rows.join(table.select(key).join(keys, key, "left_semi"), key, "left_semi")
+    return insert(table.join(keys, key, "left_anti").select(*table.columns), known)
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return insert(table.join(rows.select(key), key, "left_anti").select(*table.columns), rows)
+    return insert(table.join(_keys(rows, key), key, "left_anti").select(*table.columns), rows)
 
 
 def upsert_counts(table: DataFrame, rows: DataFrame, key: str) -> tuple[int, int]:
@@ -37,7 +47,7 @@ def upsert_counts(table: DataFrame, rows: DataFrame, key: str) -> tuple[int, int
 
 def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Null and repeated ids are ignored."""
-    return table.join(ids.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*table.columns)
+    return table.join(_keys(ids.where(F.col(key).isNotNull()), key), key, "left_anti").select(*table.columns)
 
 
 def delete_where(table: DataFrame, condition: Column) -> DataFrame:
@@ -55,15 +65,25 @@ def set_where(table: DataFrame, condition: Column, key: str, **values: Any) -> D
 
 
 def coerced(value: Any, field: T.StructField) -> Column:
-    """A value for a field; columns pass, fractions for whole numbers and forbidden nulls raise."""
+    """A value for a field; columns pass, fractions for whole numbers and forbidden nulls raise.
+
+    Texts become dates, times and numbers where the field is one, and raise if they cannot.
+    """
     if isinstance(value, Column):
         return value.cast(field.dataType)
     if value is None:
         if not field.nullable:
             raise ValueError(f"{field.name} must not be null")
         return F.lit(None).cast(field.dataType)
-    if isinstance(field.dataType, T.IntegralType) and not isinstance(value, bool) and Decimal(str(value)) % 1:
-        raise ValueError(f"{value} is not a whole number for {field.name}")
+    if isinstance(field.dataType, T.IntegralType) and not isinstance(value, bool):
+        try:
+            whole = Decimal(str(value)) % 1 == 0
+        except InvalidOperation:
+            whole = False
+        if not whole:
+            raise ValueError(f"{value} is not a whole number for {field.name}")
+    if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) and isinstance(value, str):
+        value = datetime.fromisoformat(value.strip())
     return F.lit(value).cast(field.dataType)
 
 

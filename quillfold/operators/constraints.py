@@ -80,7 +80,9 @@ def ddl(name: str, schema: T.StructType) -> str:
 def numbered(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """New whole-number ids after the largest in ``table``, without a global sort.
 
-    Rows are numbered within their partitions; partition sizes give each its first number.
+    Rows are numbered within their partitions; partition sizes give each its first number.  ``rows``
+    must give the same rows in the same partitions whenever it is run, as a stored table does: write a
+    shuffled result first.
     """
     start = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).first()["m"]
     placed = rows.withColumn("_at", F.monotonically_increasing_id())

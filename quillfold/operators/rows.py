@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -84,6 +85,10 @@ def element_at(df: DataFrame, order: list[str], index: int) -> Row | None:
     return next(iter(df.orderBy(*sort_keys(df, order)).offset(index).take(1)), None) if index >= 0 else None
 
 
+def all_of(*conditions: Column) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def exists(df: DataFrame, condition: Column) -> bool:
     return bool(df.where(condition).take(1))
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from quillfold.functions import scalar as s
 from quillfold.operators import aggregates as a
 from quillfold.operators import changes, constraints, rows
 from quillfold.sources.collection import Store
-from quillfold.sources.readers import table
+from quillfold.sources.readers import json_documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,11 @@ def _nv() -> Column:
     return F.nullif(F.col("event_type"), F.lit("error"))
 
 
+def _one(like: DataFrame, row: Row | None) -> DataFrame:
+    """A row, or none, as a table."""
+    return like.sparkSession.createDataFrame([row] if row else [], like.schema)
+
+
 def _capped() -> Column:
     """``value`` with nulls in it."""
     return F.when(F.col("value") > 100, F.lit(None)).otherwise(F.col("value"))
@@ -176,6 +181,40 @@ def like_forms(customer):
     return customer.where(c.like(F.col("c_name"), "%00000001%")).select("c_custkey")
 
 
+@query(
+    "customer",
+    "SELECT c_custkey, c_name LIKE 'Customer#0000000%' AS a, c_name LIKE '%7' AS b, c_name = 'Customer#000000003' AS e, true AS every FROM customer",
+)
+def like_other_forms(customer):
+    name = F.col("c_name")
+    return rows.project(customer, c_custkey="c_custkey", a=c.like(name, "Customer#0000000%"), b=c.like(name, "%7"), e=c.like(name, "Customer#000000003"), every=c.like(name, "%"))
+
+
+@query("events", "SELECT event_id FROM (SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN chr(9) || ' ' ELSE event_type END AS nv FROM events) WHERE nv IS NULL OR trim(nv, chr(9) || ' ') = ''")
+def fn_null_or_blank(events):
+    kind = F.col("event_type")
+    nv = F.when(kind == "error", F.lit(None)).when(kind == "click", F.lit("\t ")).otherwise(kind)
+    return events.where(c.null_or_blank(nv)).select("event_id")
+
+
+@query("events", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value > 50 END AS flag FROM events) WHERE coalesce(flag, false)")
+def bare_boolean(events):
+    return events.where(c.holds(F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("value") > 50), "boolean")).select("event_id")
+
+
+@query("orders", "SELECT count(*) AS n, 0 AS more FROM orders WHERE o_orderstatus IS NOT NULL AND o_totalprice IS NOT NULL")
+def unlike_types(orders):
+    """A text is never above a number, nor equal to it, and a number never below a text."""
+    text, number = F.col("o_orderpriority"), F.col("o_totalprice")
+    never = c.or_(c.gt(text, 1), c.eq(text, 1), c.lt(number, "5"), c.ge(number, text))
+    return a.summarise(orders, n=a.count(c.not_(never)), more=F.count_if(never).cast("int"))
+
+
+@query("events", "SELECT count(*) AS past FROM events WHERE ts < now()")
+def now_today(events):
+    return a.summarise(events.where(c.and_(c.lt(F.col("ts"), s.now()), c.le(s.today(), s.now()))), past=a.count())
+
+
 @query("events", "SELECT event_id FROM (SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN '' ELSE event_type END AS nv FROM events) WHERE nv IS NULL OR nv = ''")
 def fn_null_or_empty(events):
     kind = F.col("event_type")
@@ -253,6 +292,12 @@ def date_parts(events):
     return rows.project(events, event_id="event_id", **parts, w=s.day_of_week(ts), t=s.date_of(ts))
 
 
+@query("events", "SELECT event_id, CAST(minute(ts) AS INTEGER) AS mi, CAST(second(ts) AS INTEGER) AS se, CAST(event_id AS VARCHAR) AS t FROM events")
+def time_parts_and_text(events):
+    ts = F.col("ts")
+    return rows.project(events, event_id="event_id", mi=s.date_part(ts, "minute"), se=s.date_part(ts, "second"), t=s.text(F.col("event_id")))
+
+
 @query("orders", "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS m, o_orderdate + INTERVAL 36 HOUR AS h FROM orders")
 def date_add(orders):
     at = F.col("o_orderdate")
@@ -271,19 +316,31 @@ def array_agg_rows(embeddings):
     return rows.project(embeddings, vec_id="vec_id", mx=F.array_max(e), mn=F.array_min(e))
 
 
+@query("embeddings", "SELECT vec_id, round(coalesce(list_sum(embedding), 0), 3) + 0.0 AS total, round(coalesce(list_sum(embedding) / len(embedding), 0), 3) + 0.0 AS mean FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)")
+def array_sum_average(embeddings):
+    e = F.col("embedding")
+    return rows.project(embeddings, vec_id="vec_id", total=F.round(s.array_sum(e), 3), mean=F.round(s.array_average(e), 3))
+
+
 @query("events", "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k FROM events")
 def json_field(events):
     return rows.project(events, event_id="event_id", k=s.json_field(F.col("props"), "k").cast("int"))
 
 
-@query("events")
+_VARIANT = """SELECT event_id, CASE k WHEN 0 THEN 'null' WHEN 1 THEN 'number' WHEN 2 THEN '"' || event_type || '"' ELSE 'true' END AS v,
+  CAST(CASE k WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 2 END AS INTEGER) AS rank, CASE k WHEN 1 THEN value WHEN 3 THEN 1.0 END AS number,
+  CASE k WHEN 2 THEN event_type END AS text FROM (SELECT *, event_id % 4 AS k FROM events) ORDER BY rank, number, text, event_id"""
+
+
+@query("events", _VARIANT)
 def variant_order(events):
-    """Mixed types in one field sort by type first; without SQL, as DuckDB has no such order."""
+    """Mixed types in one field sort by type first."""
     k = F.col("event_id") % 4
     doc = F.when(k == 0, F.lit("null")).when(k == 1, F.col("value").cast("string")).when(k == 2, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise(F.lit("true"))
     mixed = events.withColumn("v", F.parse_json(doc))
     keyed = mixed.withColumn("k", s.value_order(F.col("v"))).orderBy("k", "event_id")
-    return keyed.select("event_id", F.to_json("v").alias("v"), "k.rank", "k.number", "k.text")
+    shown = F.when(F.col("k.rank") == 3, F.lit("number")).otherwise(F.to_json("v"))
+    return keyed.select("event_id", shown.alias("v"), "k.rank", "k.number", "k.text")
 
 
 # projection, order, pages ----------------------------------------------------------------------
@@ -326,12 +383,23 @@ def take_then_skip(orders):
 
 @query("orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 1")
 def last_element(orders):
-    return rows.page(orders.select("o_orderkey"), ["-o_orderkey"], 0, 1)
+    return _one(orders.select("o_orderkey"), rows.last(orders.select("o_orderkey"), ["o_orderkey"]))
 
 
 @query("orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 7")
 def element_at(orders):
-    return rows.page(orders.select("o_orderkey"), ["o_orderkey"], 7, 1)
+    return _one(orders.select("o_orderkey"), rows.element_at(orders.select("o_orderkey"), ["o_orderkey"], 7))
+
+
+@query("orders", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1")
+def first_element(orders):
+    keys = orders.select("o_orderkey", "o_totalprice")
+    return _one(keys, rows.first(keys, ["o_totalprice", "o_orderkey"])).select("o_orderkey")
+
+
+@query("orders", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 1000 ORDER BY o_orderkey LIMIT 5 OFFSET 10")
+def find_skip_limit(orders):
+    return rows.find(orders, c.ge(F.col("o_totalprice"), 1000), 10, 5, "o_orderkey").select("o_orderkey")
 
 
 @query("orders", "SELECT o_orderkey, count(*) OVER () AS total FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 7 OFFSET 3")
@@ -363,23 +431,33 @@ def group_count(orders):
     return a.group(orders, {"k": "o_orderstatus"}, n=a.count())
 
 
-@query("orders", "SELECT o_orderstatus AS k, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS s, min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders GROUP BY o_orderstatus")
+@query("orders", "SELECT o_orderstatus AS k, round(sum(o_totalprice), 2) AS s, min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders GROUP BY o_orderstatus")
 def group_sum_min_max(orders):
     x = F.col("o_totalprice")
-    return a.group(orders, {"k": "o_orderstatus"}, s=a.exact_total(x), mn=F.min(x), mx=F.max(x))
+    return a.group(orders, {"k": "o_orderstatus"}, s=F.round(a.exact_total(x), 2), mn=F.min(x), mx=F.max(x))
 
 
-@query("events", f"SELECT event_type AS k, round(coalesce(CAST(sum(CAST(nv AS DECIMAL(18,2))) AS DOUBLE), 0) / count(*), 6) AS a FROM {_CAP} GROUP BY event_type")
+@query("events", f"SELECT event_type AS k, round(coalesce(sum(nv), 0) / count(*), 6) AS a FROM {_CAP} GROUP BY event_type")
 def group_avg_counts_nulls(events):
     return a.group(events, {"k": "event_type"}, a=F.round(a.average(_capped()), 6))
 
 
+@query("orders", "SELECT o_orderstatus AS k, round(sum(o_totalprice / 1000) / count(*), 6) AS a FROM orders GROUP BY o_orderstatus")
+def group_avg_thousandths(orders):
+    return a.group(orders, {"k": "o_orderstatus"}, a=F.round(a.average(F.col("o_totalprice") / 1000), 6))
+
+
+@query("part", "SELECT CAST(sum(CAST(p_size AS HUGEINT) * 1000000000000000) AS DOUBLE) AS s FROM part")
+def sum_of_large(part):
+    return a.summarise(part, s=a.exact_total(F.col("p_size") * F.lit(1e15)))
+
+
 @query("events", f"SELECT nv AS k, count(*) AS n FROM {_NV} GROUP BY nv")
 def group_null_key(events):
     return a.group(events, {"k": _nv()}, n=a.count())
 
 
-@query("lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")
+@query("lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def group_composite(lineitem):
     return a.group(lineitem, {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus"}, n=a.count(), q=a.exact_total(F.col("l_quantity")))
 
@@ -423,13 +501,18 @@ def unique_violations(orders):
     return constraints.duplicates(orders, "o_custkey").withColumnRenamed("o_custkey", "k")
 
 
+@query("events", f"SELECT nv AS k, count(*) AS n FROM {_NV} WHERE nv IS NOT NULL GROUP BY nv HAVING count(*) > 1")
+def unique_violations_sparse(events):
+    return constraints.duplicates(rows.project(events, k=_nv()), "k", sparse=True)
+
+
 @query("region", "SELECT r_regionkey, r_name, 0 AS population FROM region")
 def schema_defaults(region):
     schema = T.StructType([*region.schema.fields, constraints.field("population", "int", required=True)])
     return constraints.with_defaults(region, schema)
 
 
-@query("region")
+@query("region", "SELECT 'create table \"region\" (' || chr(10) || '  \"r_regionkey\" \"int\",' || chr(10) || '  \"r_name\" \"string\"' || chr(10) || ');' AS ddl")
 def schema_ddl(region):
     """DDL text of a declared schema, one row."""
     return region.sparkSession.createDataFrame([(constraints.ddl("region", region.schema),)], "ddl string")
@@ -454,6 +537,13 @@ def dml_update(customer):
     return changes.set_where(customer, c.lt(F.col("c_acctbal"), 0), "c_custkey", c_mktsegment="DEBT").select("c_custkey", "c_mktsegment")
 
 
+@query("orders", "SELECT o_orderkey, CASE WHEN o_orderkey < 5 THEN TIMESTAMP '2024-02-29 00:00:00' ELSE o_orderdate END AS o_orderdate, CASE WHEN o_orderkey < 5 THEN 12 ELSE o_totalprice END AS o_totalprice FROM orders")
+def dml_update_coerced(orders):
+    """A text becomes a date, a text of a number the number."""
+    new = changes.set_where(orders, c.lt(F.col("o_orderkey"), 5), "o_orderkey", o_orderdate="2024-02-29", o_totalprice="12")
+    return new.select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
 @query("nation", "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'CANUCK' ELSE n_name END AS n_name, n_regionkey FROM nation")
 def dml_replace(nation):
     new = nation.where("n_nationkey = 3").withColumn("n_name", F.lit("CANUCK"))
@@ -487,8 +577,12 @@ def txn_overlay(nation):
 
 
 def _store(spark: SparkSession) -> Store:
-    """A new store in the shared folder; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillfold-")
+    """A new store in the shared folder; a local one only in local mode where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="quillfold-")
     return Store(spark, f"{base.rstrip('/')}/stores/{uuid.uuid4().hex}")
 
 
@@ -505,18 +599,15 @@ def store_changes(nation):
 
 @query("customer orders", "SELECT o_orderkey, CASE WHEN o_custkey = 1 THEN 'RENAMED' ELSE c_name END AS c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 300000")
 def store_transaction(customer, orders):
-    """Two collections changed in one transaction, then references loaded."""
+    """Chains of changes of two collections, each chain written as one version; then references loaded."""
     store = _store(customer.sparkSession)
     people = store.collection("customer", "c_custkey", customer.schema)
     bought = store.collection("orders", "o_orderkey", orders.schema, references={"o_custkey": people})
-    with store.transaction() as tx:
-        tx.on(bought).insert(orders)
-        tx.on(people).insert(customer)
-        tx.savepoint("all")
-        tx.on(bought).delete_where(F.lit(True))
-        tx.rollback_to("all")
-        tx.on(bought).delete_where(c.lt(F.col("o_totalprice"), 300000))
-        tx.on(people).set_where(c.eq(F.col("c_custkey"), 1), c_name="RENAMED")
+    people.apply(
+        lambda t: changes.insert(t, customer),
+        lambda t: changes.set_where(t, c.eq(F.col("c_custkey"), 1), "c_custkey", c_name="RENAMED"),
+    )
+    bought.apply(lambda t: changes.insert(t, orders), lambda t: changes.delete_where(t, c.lt(F.col("o_totalprice"), 300000)))
     return bought.include("o_custkey", "customer").select("o_orderkey", F.col("customer.c_name").alias("c_name"))
 
 
@@ -526,3 +617,48 @@ def store_sql(orders):
     store = _store(orders.sparkSession)
     store.collection("shop_orders", "o_orderkey").insert(orders)
     return store.sql("SELECT o_orderstatus, count(*) AS n FROM shop_orders WHERE o_totalprice > :least GROUP BY o_orderstatus", least=1000)
+
+
+@query("nation", "SELECT 'kept' AS name, 25 AS rows_, 1 AS versions, true AS there, false AS gone, 'NATION_0' AS one UNION ALL SELECT 'packed', 23, 3, true, false, NULL")
+def store_catalogue(nation):
+    """Names, statistics, existence, dropping, compacting, finding one."""
+    store = _store(nation.sparkSession)
+    for name in ("dropped", "kept", "packed"):
+        store.collection(name, "n_nationkey").insert(nation)
+    store.drop("dropped")
+    packed = store.collection("packed", "n_nationkey")
+    packed.delete([0, 1])
+    packed.compact(1)
+    first = {n: store.collection(n, "n_nationkey").find_one(c.eq(F.col("n_nationkey"), 0)) for n in store.names()}
+    facts = [(n, store.exists(n), store.exists("dropped"), r.n_name if r else None) for n, r in first.items()]
+    known = nation.sparkSession.createDataFrame(facts, "name string, there boolean, gone boolean, one string")
+    return known.join(store.statistics(), "name").select("name", F.col("rows").cast("int").alias("rows_"), "versions", "there", "gone", "one")
+
+
+@query("events", "SELECT event_id, event_type, CAST(props->>'k' AS INTEGER) AS k FROM events")
+def json_ingest(events):
+    """JSON lines written as text and read with a schema."""
+    path = f"{_store(events.sparkSession).path}/lines"
+    events.select(F.to_json(F.struct("event_id", "event_type", "props")).alias("value")).write.text(path)
+    read = json_documents(events.sparkSession, path, "event_id long, event_type string, props string")
+    return read.select("event_id", "event_type", s.json_field(F.col("props"), "k").cast("int").alias("k"))
+
+
+@query("orders", "SELECT o_orderkey AS id, o_orderstatus FROM orders WHERE o_totalprice >= 1000 ORDER BY o_orderstatus, o_orderkey LIMIT 5 OFFSET 2")
+def store_sql_page(orders):
+    """A page in SQL text over a stored collection, the key under another name and as the tie-break."""
+    stored = _store(orders.sparkSession).collection("paged_orders", "o_orderkey")
+    stored.insert(orders)
+    return stored.sql("SELECT o_orderkey AS id, o_orderstatus FROM paged_orders WHERE o_totalprice >= :least ORDER BY o_orderstatus, id LIMIT 5 OFFSET 2", least=1000)
+
+
+@query("orders customer", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def store_include_page(orders, customer):
+    """References of one page only."""
+    store = _store(orders.sparkSession)
+    people = store.collection("customer", "c_custkey")
+    people.insert(customer)
+    bought = store.collection("orders", "o_orderkey", references={"o_custkey": people})
+    bought.insert(orders)
+    page = bought.include("o_custkey", "customer", c.ge(F.col("o_totalprice"), 1000), ["-o_totalprice"], take=5)
+    return page.select("o_orderkey", F.col("customer.c_name").alias("c_name"))

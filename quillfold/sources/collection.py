@@ -1,13 +1,12 @@
 """Named collections of documents: Parquet folders, one per version, and changes with checks.
 
-A collection is a folder of version folders.  A change is planned as a DataFrame over the newest
-version and written as the next one; a version counts once Spark's ``_SUCCESS`` file is in it, so
-readers never see half a write and nothing is overwritten while it is read.
+A collection is a folder of version folders.  New rows are appended to the newest version.  Any other
+change, or a chain of changes, is a DataFrame over that version, written as the next one; a version
+counts once Spark's ``_SUCCESS`` file is in it, so nothing is overwritten while it is read.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from typing import Any
 
@@ -18,16 +17,11 @@ from pyspark.sql import types as T
 from quillfold.operators import changes, constraints, rows
 
 
-class WriteConflict(RuntimeError):
-    """Another writer made a version since this one was planned."""
-
-
 class Store:
     """A folder of collections."""
 
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False) -> None:
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
-        self.active: set[Transaction] = set()
 
     def _fs(self, path: str) -> tuple[Any, Any]:
         jvm = self.spark.sparkContext._jvm
@@ -52,29 +46,34 @@ class Store:
     def collection(self, name: str, key: str, schema: T.StructType | None = None, **rules: Any) -> Collection:
         return Collection(self, name, key, schema, **rules)
 
-    def transaction(self) -> Transaction:
-        return Transaction(self)
-
     def sql(self, query: str, **parameters: Any) -> DataFrame:
         """A Spark SQL query over all collections as views, with ``:name`` parameters."""
-        for n in self.names():
-            self.spark.read.parquet(f"{self.path}/{n}/{self.versions(n)[-1]}").createOrReplaceTempView(n)
+        for n in self._readable():
+            self._newest(n).createOrReplaceTempView(n)
         return self.spark.sql(query, args=parameters)
 
     def copy_to(self, path: str) -> Store:
         """The newest version of every collection, in another folder."""
         target = Store(self.spark, path)
-        for n in self.names():
-            self.spark.read.parquet(f"{self.path}/{n}/{self.versions(n)[-1]}").write.mode("error").parquet(f"{target.path}/{n}/v00000001")
+        for n in self._readable():
+            self._newest(n).write.mode("error").parquet(f"{target.path}/{n}/v00000001")
         return target
 
     def statistics(self) -> DataFrame:
-        """Versions and rows of every collection."""
-        found = []
-        for n in self.names():
-            versions = self.versions(n)
-            found.append((n, len(versions), self.spark.read.parquet(f"{self.path}/{n}/{versions[-1]}").count() if versions else 0))
-        return self.spark.createDataFrame(found, "name string, versions int, rows long")
+        """Versions and rows of every collection, counted in one job."""
+        names = self.names()
+        known = self.spark.createDataFrame([(n, len(self.versions(n))) for n in names], "name string, versions int")
+        counts = known.select("name", F.lit(0).cast("long").alias("rows"))
+        for n in self._readable():
+            counts = counts.unionByName(self._newest(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows"))
+        return known.join(counts.groupBy("name").agg(F.sum("rows").alias("rows")), "name")
+
+    def _readable(self) -> list[str]:
+        """Collections that have a complete version."""
+        return [n for n in self.names() if self.versions(n)]
+
+    def _newest(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/{self.versions(name)[-1]}")
 
     def versions(self, name: str) -> list[str]:
         base = f"{self.path}/{name}"
@@ -144,9 +143,13 @@ class Collection:
     def exists(self, condition: Column | str) -> bool:
         return self.find_one(condition) is not None
 
-    def include(self, foreign_key: str, name: str) -> DataFrame:
-        target = self.references[foreign_key]
-        return rows.include(self.find_all(), foreign_key, target.find_all(), target.key, name)
+    def include(self, foreign_key: str, name: str, condition: Column | str | None = None, order: list[str] | None = None, skip: int = 0, take: int | None = None) -> DataFrame:
+        """References loaded into ``name``, of all rows or of those of a condition or a page."""
+        table, target = self.find_all(), self.references[foreign_key]
+        found = table if condition is None else table.where(condition)
+        if order is not None or skip or take is not None:
+            found = rows.page(found, order or [], skip, take, self.key)
+        return rows.include(found, foreign_key, target.find_all(), target.key, name)
 
     def sql(self, query: str, **parameters: Any) -> DataFrame:
         """A Spark SQL query in which this collection is the view of its name, with ``:name`` parameters."""
@@ -155,9 +158,24 @@ class Collection:
 
     # changing
     def insert(self, new: DataFrame) -> None:
-        """Fields that ``new`` lacks get their declared defaults."""
+        """Append rows; fields that ``new`` lacks get their declared defaults.
+
+        Only the new rows are checked, against themselves and by joins with the stored ones.
+        """
         new = constraints.with_defaults(new, self.schema) if self.schema else new
-        self.commit(changes.insert(self._current(new), new))
+        if self.version() is None:
+            self.commit(changes.insert(self._current(new), new))
+            return
+        self.store._writable()
+        old = self.find_all()
+        new = changes.insert(old.limit(0), new)
+        self.check(new)
+        for columns in ([self.key], *self.unique, *self.sparse):
+            mine = new.dropna(how="any", subset=columns) if columns in self.sparse else new
+            there = old.select(*(F.col(k).alias(f"_old_{k}") for k in columns))
+            same = rows.all_of(*(mine[k].eqNullSafe(there[f"_old_{k}"]) for k in columns))
+            constraints.require(mine.join(there, same, "left_semi"), f"duplicate {columns} in {self.name}")
+        self._sorted(new).write.mode("append").parquet(f"{self.store.path}/{self.name}/{self.version()}")
 
     def update(self, new: DataFrame) -> int:
         table = self.find_all()
@@ -173,14 +191,16 @@ class Collection:
 
     def delete(self, ids: list[Any]) -> int:
         table = self.find_all()
-        gone = rows.find_by_ids(table, self.key, ids).count()
-        self.commit(table.where(~F.coalesce(F.col(self.key).isin([i for i in ids if i is not None]), F.lit(False))))
-        return gone
+        known = [i for i in dict.fromkeys(ids) if i is not None]
+        gone = rows.find_by_ids(table, self.key, known)
+        n = gone.count()
+        self.commit(changes.delete(table, gone, self.key), checked=True)
+        return n
 
     def delete_where(self, condition: Column) -> int:
         table = self.find_all()
         gone = table.where(condition).count()
-        self.commit(changes.delete_where(table, condition))
+        self.commit(changes.delete_where(table, condition), checked=True)
         return gone
 
     def set_where(self, condition: Column, **values: Any) -> int:
@@ -189,147 +209,39 @@ class Collection:
         self.commit(changes.set_where(table, condition, self.key, **values))
         return n
 
+    def apply(self, *steps: Callable[[DataFrame], DataFrame]) -> str:
+        """A chain of changes, each a transform that sees the ones before it, written as one version."""
+        table = self.find_all()
+        for step in steps:
+            table = step(table)
+        return self.commit(table)
+
     def _current(self, like: DataFrame) -> DataFrame:
         return self.find_all() if self.version() or self.schema else like.limit(0)
 
-    def check(self, table: DataFrame, read: Callable[[Collection], DataFrame] | None = None) -> None:
-        """Raise unless keys are unique, references resolve and declared fields are there.
-
-        ``read`` gives referenced collections, as a transaction sees them.
-        """
+    def check(self, table: DataFrame) -> None:
+        """Raise unless keys are unique, references resolve and declared fields are there."""
         for columns in ([self.key], *self.unique):
             constraints.require(constraints.duplicates(table, *columns), f"duplicate {columns} in {self.name}")
         for columns in self.sparse:
             constraints.require(constraints.duplicates(table, *columns, sparse=True), f"duplicate {columns} in {self.name}")
         for fk, target in self.references.items():
-            there = read(target) if read else target.find_all()
-            constraints.require(constraints.dangling(table, fk, there, target.key), f"{fk} refers to nothing")
+            constraints.require(constraints.dangling(table, fk, target.find_all(), target.key), f"{fk} refers to nothing")
         if self.schema:
             constraints.require(constraints.violations(table, self.schema, self.strict), f"missing fields in {self.name}")
 
-    def commit(self, table: DataFrame, planned_on: str | None = "", checked: bool = False) -> str:
-        """Write ``table`` as the next version; ``planned_on`` is the version it was planned on."""
+    def commit(self, table: DataFrame, checked: bool = False) -> str:
+        """Write ``table`` as the next version, after the highest folder there is, complete or not."""
         self.store._writable()
         if not checked:
             self.check(table)
-        now = self.version()
-        if planned_on != "" and planned_on != now:
-            raise WriteConflict(f"{self.name} is at {now}, not {planned_on}")
-        number = int(now[1:]) + 1 if now else 1
-        path = f"{self.store.path}/{self.name}/v{number:08d}"
-        table = table.sortWithinPartitions(*self.layout) if self.layout else table
-        table.write.mode("error").parquet(path)  # a second writer of the same version fails here
+        taken = [int(v[1:]) for v in self.store._children(f"{self.store.path}/{self.name}") if v[:1] == "v" and v[1:].isdigit()]
+        path = f"{self.store.path}/{self.name}/v{max(taken, default=0) + 1:08d}"
+        self._sorted(table).write.mode("error").parquet(path)  # a second writer of the same version fails here
         return path
 
-    def compact(self, files: int) -> str:
-        return self.commit(self.find_all().repartition(files), self.version())
-
-    def transaction(self) -> Pending:
-        return self.store.transaction().on(self)
-
-
-class Transaction:
-    """Pending changes of collections of one store, in order; nothing is written before the commit.
-
-    Reads through the transaction see its changes, checks of references too.  A commit fails if
-    another writer has made a version of a changed collection since its first change here.  Each
-    collection's new version appears at once; the collections appear one after the other.
-    """
-
-    MOST_STEPS, SECONDS, MOST_ACTIVE = 10_000, 300, 100
-
-    def __init__(self, store: Store) -> None:
-        self.store, self.began = store, time.monotonic()
-        self.steps: list[tuple[Collection, Callable[[DataFrame], DataFrame]]] = []
-        self.bases: dict[str, str | None] = {}
-        self.marks: dict[str, int] = {}
-        if len(store.active) >= self.MOST_ACTIVE:
-            raise RuntimeError(f"more than {self.MOST_ACTIVE} transactions")
-        store.active.add(self)
-
-    def __enter__(self) -> Transaction:
-        return self
-
-    def __exit__(self, kind: Any, *_: Any) -> None:
-        if kind is None:
-            self.commit()
-        else:
-            self.rollback()
-
-    def on(self, collection: Collection) -> Pending:
-        return Pending(self, collection)
-
-    def add(self, collection: Collection, step: Callable[[DataFrame], DataFrame]) -> None:
-        if len(self.steps) >= self.MOST_STEPS:
-            raise RuntimeError(f"more than {self.MOST_STEPS} steps")
-        if time.monotonic() - self.began > self.SECONDS:
-            self.rollback()
-            raise TimeoutError(f"the transaction is older than {self.SECONDS} seconds")
-        self.bases.setdefault(collection.name, collection.version())
-        self.steps.append((collection, step))
-
-    def read(self, collection: Collection) -> DataFrame:
-        """The collection with its pending changes applied in order."""
-        table = None
-        for c, step in self.steps:
-            if c.name == collection.name:
-                table = step(c.find_all() if table is None else table)
-        return collection.find_all() if table is None else table
-
-    def savepoint(self, name: str) -> None:
-        self.marks[name] = len(self.steps)
-
-    def rollback_to(self, name: str) -> None:
-        del self.steps[self.marks[name] :]
-
-    def release(self, name: str) -> None:
-        del self.marks[name]
-
-    def rollback(self) -> None:
-        self.steps.clear()
-        self.store.active.discard(self)
-
-    def commit(self) -> None:
-        changed = list({c.name: c for c, _ in self.steps}.values())
-        for c in changed:
-            if c.version() != self.bases[c.name]:
-                raise WriteConflict(f"{c.name} has changed since {self.bases[c.name]}")
-            c.check(self.read(c), self.read)
-        after = [(c, self.read(c)) for c in changed]
-        for c, table in after:
-            c.commit(table, self.bases[c.name], checked=True)
-        self.rollback()
-
-
-class Pending:
-    """One collection inside a transaction."""
-
-    def __init__(self, transaction: Transaction, collection: Collection) -> None:
-        self.transaction, self.collection = transaction, collection
-
-    def __enter__(self) -> Pending:
-        return self
-
-    def __exit__(self, *what: Any) -> None:
-        self.transaction.__exit__(*what)
-
-    def __getattr__(self, name: str) -> Any:  # savepoints, commit and rollback are the transaction's
-        return getattr(self.transaction, name)
+    def _sorted(self, table: DataFrame) -> DataFrame:
+        return table.sortWithinPartitions(*self.layout) if self.layout else table
 
-    def insert(self, new: DataFrame) -> None:
-        self.transaction.add(self.collection, lambda t: changes.insert(t, new))
-
-    def upsert(self, new: DataFrame) -> None:
-        self.transaction.add(self.collection, lambda t: changes.upsert(t, new, self.collection.key))
-
-    def update(self, new: DataFrame) -> None:
-        self.transaction.add(self.collection, lambda t: changes.update(t, new, self.collection.key))
-
-    def delete_where(self, condition: Column) -> None:
-        self.transaction.add(self.collection, lambda t: changes.delete_where(t, condition))
-
-    def set_where(self, condition: Column, **values: Any) -> None:
-        self.transaction.add(self.collection, lambda t: changes.set_where(t, condition, self.collection.key, **values))
-
-    def read(self) -> DataFrame:
-        return self.transaction.read(self.collection)
+    def compact(self, files: int) -> str:
+        return self.commit(self.find_all().repartition(files), checked=True)

@@ -15,7 +15,7 @@ from quillfold.functions import scalar as s
 from quillfold.operators import aggregates as a
 from quillfold.operators import changes, constraints, rows
 from quillfold.plans import catalogue
-from quillfold.sources.collection import Store, WriteConflict
+from quillfold.sources.collection import Store
 from quillfold.sources.readers import json_documents
 from quillfold.streaming.windows import windowed
 
@@ -174,47 +174,79 @@ def test_collection_life(spark, tmp_path):
     assert orders.delete([10, 10, None]) == 1 and orders.delete_where(c.eq(F.col("number"), "bb")) == 1
     assert store.names() == ["orders", "people"] and {r.name: r.rows for r in store.statistics().collect()} == {"orders": 1, "people": 2}
 
-    with people.transaction() as tx:
-        tx.insert(make([(3, "Cy")], "id int, name string"))
-        tx.savepoint("one")
-        tx.delete_where(F.lit(True))
-        assert tx.read().count() == 0 and people.count() == 2
-        tx.rollback_to("one")
-        tx.set_where(c.eq(F.col("id"), 3), name="Cyd")
-    assert people.find_by_id(3).name == "Cyd"
-    late = people.transaction()
-    late.delete_where(c.eq(F.col("id"), 1))
-    people.delete([2])
-    with pytest.raises(WriteConflict):
-        late.commit()
+    people.apply(  # each step sees the ones before it, and one version is written
+        lambda t: changes.insert(t, make([(3, "Cy")], "id int, name string")),
+        lambda t: changes.set_where(t, c.eq(F.col("id"), 3), "id", name="Cyd"),
+        lambda t: changes.delete_where(t, c.eq(F.col("name"), "Bo")),
+    )
+    assert people.find_by_id(3).name == "Cyd" and people.count() == 2
+    (tmp_path / "store" / "people" / "v00000009").mkdir()  # a write that broke off
+    people.set_where(c.eq(F.col("id"), 3), name="Cyn")
+    assert people.version() == "v00000010" and people.find_by_id(3).name == "Cyn"
+    (tmp_path / "store" / "broken" / "v00000001").mkdir(parents=True)
+    assert store.sql("SELECT name FROM people WHERE id = 3").first().name == "Cyn"
+    assert {r.name: r.rows for r in store.statistics().collect()} == {"broken": 0, "orders": 1, "people": 2}
     with pytest.raises(PermissionError):
         Store(spark, str(tmp_path / "store"), read_only=True).collection("people", "id").delete([1])
     store.drop("orders")
     assert not store.exists("orders")
 
 
-def test_transactions_over_collections(spark, tmp_path):
+def test_collections_that_refer_to_each_other(spark, tmp_path):
     store = Store(spark, str(tmp_path / "two"))
     make = lambda data, schema: spark.createDataFrame(data, schema)
     people = store.collection("people", "id", T.StructType([T.StructField("id", T.StringType()), T.StructField("mail", T.StringType())]), sparse=[["mail"]], layout=["mail"])
     orders = store.collection("orders", "id", T.StructType([T.StructField("id", T.IntegerType()), T.StructField("who", T.StringType())]), references={"who": people})
-    with store.transaction() as tx:  # a row and the row it refers to
-        tx.on(orders).insert(make([(1, "u")], "id int, who string"))
-        tx.on(people).insert(make([("u", None), ("v", None)], "id string, mail string"))
-        assert tx.on(orders).read().count() == 1 and orders.count() == 0
-    assert orders.count() == 1 and people.count() == 2
-    with pytest.raises(constraints.ConstraintError), store.transaction() as tx:
-        tx.on(orders).insert(make([(2, "nobody")], "id int, who string"))
+    people.insert(make([("u", None), ("v", None)], "id string, mail string"))
+    orders.insert(make([(1, "u")], "id int, who string"))
+    version = people.version()
+    people.insert(make([("w", "m")], "id string, mail string"))  # appended, not rewritten
+    assert people.version() == version and people.count() == 3
+    for bad in ([("x", "m")], [("w", None)], [("x", "n"), ("y", "n")]):
+        with pytest.raises(constraints.ConstraintError):
+            people.insert(make(bad, "id string, mail string"))
+    with pytest.raises(constraints.ConstraintError):
+        orders.insert(make([(2, "nobody")], "id int, who string"))
     with pytest.raises(constraints.ConstraintError):
         people.upsert(make([("u", "m"), ("v", "m")], "id string, mail string"))
-    with pytest.raises(KeyError), store.transaction() as tx:
-        tx.on(people).delete_where(F.lit(True))
-        raise KeyError
-    assert people.count() == 2 and orders.count() == 1
+    assert people.count() == 3 and orders.count() == 1
+    orders.insert(make([(2, "w"), (3, None)], "id int, who string"))
+    page = orders.include("who", "person", condition=c.ge(F.col("id"), 2), order=["id"], take=1).collect()
+    assert [(r.id, r.person.mail) for r in page] == [(2, "m")]
+    assert people.delete(["w", "w", None, "zz"]) == 1
     assert store.sql("SELECT o.id FROM orders o JOIN people p ON o.who = p.id WHERE p.id = :who", who="u").count() == 1
     assert store.copy_to(str(tmp_path / "copy")).names() == ["orders", "people"]
     people.compact(1)
-    assert people.count() == 2 and people.version() == "v00000002"
+    assert people.count() == 2
+
+
+def test_unlike_types_are_never_in_order(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, "10", None), (3, None, 7)], "id int, t string, n int")
+    ids = lambda cond: [r.id for r in df.where(cond).orderBy("id").collect()]
+    t, n = F.col("t"), F.col("n")
+    for f in (c.gt, c.ge, c.eq):
+        assert ids(f(t, 5)) == [] and ids(f(n, "5")) == []
+    assert ids(c.lt(t, 5)) == ids(c.le(t, 5)) == [3] and ids(c.lt(n, "x")) == [2]  # null is below everything
+    assert ids(c.ne(t, 10)) == [1, 2, 3] and ids(c.eq(t, n)) == [] and ids(c.lt(t, n)) == [3] and ids(c.gt(t, n)) == [2]
+    assert ids(c.eq(n, 5.0)) == [1] and ids(c.eq(t, "10")) == [2]
+
+
+def test_sums_are_exact(spark):
+    small = spark.createDataFrame([(0.004,), (0.004,), (None,)], "x double")
+    assert small.agg(a.average(F.col("x"))).first()[0] == pytest.approx(0.008 / 3)
+    assert small.agg(a.exact_total(F.col("x"))).first()[0] == 0.008
+    large = spark.createDataFrame([(1e17,), (-1e17,), (0.5,), (3e27,)], "x double")
+    assert large.agg(a.exact_total(F.col("x"))).first()[0] == 3e27
+    assert small.limit(0).agg(a.average(F.col("x"))).first()[0] == 0
+
+
+def test_values_are_coerced_to_their_fields(spark):
+    df = spark.createDataFrame([(1, None, None, None)], "id int, at timestamp_ntz, d date, n bigint")
+    got = changes.set_where(df, F.lit(True), "id", at="2024-02-29T10:00:00", d="2024-02-29", n="12").first()
+    assert str(got.at) == "2024-02-29 10:00:00" and str(got.d) == "2024-02-29" and got.n == 12
+    for bad in ({"n": "4.5"}, {"n": "x"}, {"d": "soon"}):
+        with pytest.raises(ValueError):
+            changes.set_where(df, F.lit(True), "id", **bad)
 
 
 def test_schema_text_and_ids(spark):
@@ -269,13 +301,11 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_variant_order_returns_every_row_in_order(spark):
-    import json
-
     events = spark.createDataFrame([(i, (i * 37 % 11) - 4.5, f"t{i * 7 % 5}") for i in range(300)], "event_id long, value double, event_type string")
-    got = [(r.event_id, json.loads(r.v), r.rank) for r in catalogue.variant_order(events.repartition(4)).collect()]
-    mixed = [(i, [None, (i * 37 % 11) - 4.5, f"t{i * 7 % 5}", True][i % 4]) for i in range(300)]
-    rank = lambda v: 1 if v is None else 2 if isinstance(v, bool) else 3 if isinstance(v, float) else 7
-    assert got == [(i, v, rank(v)) for i, v in sorted(mixed, key=lambda x: (rank(x[1]), x[1] if rank(x[1]) > 2 else 0, x[0]))]
+    got = [(r.event_id, r.rank, r.number, r.text) for r in catalogue.variant_order(events.repartition(4)).collect()]
+    of = lambda i: [(1, None, None), (3, (i * 37 % 11) - 4.5, None), (7, None, f"t{i * 7 % 5}"), (2, 1.0, None)][i % 4]
+    want = sorted(((i, *of(i)) for i in range(300)), key=lambda r: (r[1], r[2] or 0, r[3] or "", r[0]))
+    assert got == want
 
 
 def test_entry(spark):
