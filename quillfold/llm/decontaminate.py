@@ -107,7 +107,7 @@ def _chunks(rows: DataFrame, n: int, window: int, block_bytes: int) -> DataFrame
 
 
 def _scan(shared, window: int):
-    """From texts to spans and items, with tables built once per task from a broadcast block."""
+    """From texts to spans, items and the number of words, with tables built once per task from a broadcast block."""
 
     def make():
         tables = build_tables(shared.value, window)
@@ -115,17 +115,19 @@ def _scan(shared, window: int):
         def scan(texts: list[str | None]) -> pa.Array:
             hits: list[list[tuple[int, int]]] = [[] for _ in texts]
             names: list[set[str]] = [set() for _ in texts]
+            counts = []
             for found, seen, text in zip(hits, names, texts, strict=True):
                 words = words_of(text)
+                counts.append(len(words))
                 for t in tables:
                     for start, ids in t.find(words):
                         found.append((start, start + t.m))
                         seen.update(ids)
-            return structs(_KINDS, [[_merged(h) for h in hits], [sorted(s) for s in names]])
+            return structs(_KINDS | {"n_words": pa.int64()}, [[_merged(h) for h in hits], [sorted(s) for s in names], counts])
 
         return scan
 
-    return per_text(make, _TYPE)
+    return per_text(make, f"{_TYPE}, n_words long")
 
 
 def _united(rows: DataFrame) -> DataFrame:
@@ -169,13 +171,13 @@ def find_contamination(
         F.coalesce(F.col(item_id_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text_col).cast("string").alias("text")
     ).where(F.col("text").isNotNull())
     n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
     if n == 1:
         shared = spark.sparkContext.broadcast([(r.item, r.text) for r in rows.collect()])
         hits = spare_name([*docs.columns, out_col], "hits")
         found = docs.withColumn(hits, _scan(shared, window)(text))
-        return found.withColumn(out_col, F.struct(n_words.alias("n_words"), F.col(hits)["spans"].alias("spans"), F.col(hits)["items"].alias("items"))).drop(hits)
+        return found.withColumn(out_col, F.struct(*(F.col(hits)[c].alias(c) for c in ("n_words", "spans", "items")))).drop(hits)
 
+    n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
     chunks = _chunks(rows, n, window, block_bytes)
     key = {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
     keyed = docs.where(text.isNotNull()).select(*(k.alias(c) for c, k in key.items()), text.alias("text"))
@@ -183,7 +185,7 @@ def find_contamination(
     for k in range(n):
         shared = spark.sparkContext.broadcast([(r.item, r.text) for r in chunks.where(F.col("at") == k).collect()])
         seen = keyed.select("k1", "k2", _scan(shared, window)(F.col("text")).alias("h")).where(F.size("h.items") > 0)
-        parts.append(materialise(seen.select("k1", "k2", "h.*").dropDuplicates(["k1", "k2"])))
+        parts.append(materialise(seen.select("k1", "k2", "h.spans", "h.items").dropDuplicates(["k1", "k2"])))
         shared.destroy()
     every = parts[0]
     for p in parts[1:]:
