@@ -337,7 +337,9 @@ def _pivot_pairs(rest: DataFrame, sets: DataFrame, percent: int, bits: int = 20,
             prefixes, "mid long, cid long, comp long, w long, c long, f long, low boolean, left long"
         )
     )
-    one = heads.where("low").select("mid", "f", *(F.col(k).alias(f"{k}1") for k in ("cid", "comp", "w", "left")))
+    # a difference that only one component has pairs nothing: the copies of one family don't meet on it
+    crossing = heads.groupBy("mid", "f").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("mid", "f")
+    one = heads.where("low").join(crossing, ["mid", "f"], "left_semi").select("mid", "f", *(F.col(k).alias(f"{k}1") for k in ("cid", "comp", "w", "left")))
     two = heads.select("mid", "f", "c", *(F.col(k).alias(f"{k}2") for k in ("cid", "comp", "w", "left")))
     enough = (100 + percent) * F.least("left1", "left2") >= F.col("w1") + F.col("w2") - F.col("c")
     order = (F.col("w1") < F.col("w2")) | ((F.col("w1") == F.col("w2")) & (F.col("cid1") < F.col("cid2")))
