@@ -201,7 +201,7 @@ def _may_hold(ids: DataFrame, key: str, n: int) -> Callable[[F.Column], F.Column
 
 
 def join_few(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
-    """``df.join(few, key, how)`` for ``left``, ``left_semi`` and ``left_anti`` without shuffling most of ``df``.
+    """``df.join(few, key, how)`` for ``inner``, ``left``, ``left_semi`` and ``left_anti`` without shuffling most of ``df``.
 
     ``few``, which holds a value of ``key`` once, is broadcast if it is small.  Otherwise a Bloom
     filter of its keys goes to the executors; the rows of ``df`` that it excludes stay where they are,
@@ -213,7 +213,7 @@ def join_few(df: DataFrame, few: DataFrame, key: str, how: str) -> DataFrame:
     may = spare_name([*df.columns, *few.columns], "may_be_there")
     tested = df.withColumn(may, _may_hold(few, key, n)(F.col(key)))
     hit = tested.where(may).drop(may).join(few, key, how)
-    if how == "left_semi":
+    if how in ("inner", "left_semi"):
         return hit
     return hit.unionByName(tested.where(~F.col(may)).drop(may), allowMissingColumns=True)
 
@@ -234,7 +234,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, folds: int | No
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(c.alias(n) for n, c in also.items()))
     known = known.persist()  # recomputed if an executor is lost; freed when the fit is done
     try:
-        yield rows.join(small_side(known), "doc_id")
+        yield join_few(rows, known, "doc_id", "inner")
     finally:
         known.unpersist()
 

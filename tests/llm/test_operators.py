@@ -140,6 +140,20 @@ def test_cutoffs_keep_their_promise(spark):
     assert not any(got[i] for i in range(0, 1500, 10) if i % 3) and all(got[i] for i in range(1500) if i % 10)
 
 
+def test_labelled_rows_are_the_same_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = frame(spark, [(i, f"text {i}") for i in range(300)] + [(6, "again"), (None, "no id"), (9, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 600, 3)] + [(6, 1), (None, 1), (12, None)], "doc_id long, quality int")
+
+    def rows(folds):
+        with common.labelled(docs, labels, "quality", folds) as learn:
+            return Counter((r.doc_id, r.text, r.label) for r in learn.select("doc_id", "text", "label").collect())
+
+    want = {folds: rows(folds) for folds in (None, 5)}
+    assert want[None][6, "again", 1] == 1 and want[None][9, None, 1] == 1 and sum(want[None].values()) == 102
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert {folds: rows(folds) for folds in (None, 5)} == want
+
+
 def test_every_stratum_is_certified_by_itself(spark):
     clean, marked = "one two three four five six seven", "one# two# three# four# five# six# seven#"
     rows = [(100 * s + i, f"{marked if i % 10 == 0 else clean} {i}", f"l{s}") for s in range(69) for i in range(100)]
