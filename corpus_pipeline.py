@@ -3,6 +3,9 @@
 Each stage is a function ``(spark, docs, sf_dir) -> DataFrame`` over all rows that its predecessor
 kept, and all but the last return the columns of ``documents``.  Its own query is counted as part of
 ``quillfold.llm``.
+
+In every stage further columns of ``documents`` pass through whatever their names, very long texts
+are read whole, and an empty table stays empty.  Each stage tells what becomes of nulls and repeats.
 """
 
 from __future__ import annotations
@@ -25,31 +28,50 @@ from quillfold.plans.ship import ship  # noqa: E402
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go.
+
+    Texts that are null, empty or without words score the share of toxic labels; rows with a null id
+    are scored but not learnt from; repeated rows score alike.
+    """
     ship(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or a certified cutoff go."""
+    """Documents that fail the base rules or a certified cutoff go.
+
+    Texts that are null or have too few words fail the base rules; a null language is a stratum of
+    its own; a null id is judged but not learnt from; repeated rows are judged alike.
+    """
     ship(spark)
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays, the smallest id."""
+    """One document of each group of near copies (five words, similarity 0.8) stays, the smallest id.
+
+    Texts without words and rows with a null id stay; of rows that repeat an id one stays.
+    """
     ship(spark)
     return drop_near_duplicates(docs, NearDup(shingle_words=5, percent=80))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of ten benchmark words, or a whole shorter item, go."""
+    """Documents with a passage of ten benchmark words, or a whole shorter item, go.
+
+    Texts and items that are null or have no words match nothing; ids are not looked at; repeated
+    rows fare alike.
+    """
     ship(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as it is taken, with its number in ``copy``."""
+    """The mix: every document as often as it is taken, with its number in ``copy``.
+
+    A null source is a source of its own, the last; a null text has no words; rows equal in id,
+    source and size share one decision.
+    """
     ship(spark)
     return take_mix(docs)
 
